@@ -44,9 +44,10 @@ keyed AS (SELECT *, -ln(u) / quality AS key FROM sized),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
 ranked AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap FROM sources),
 levels AS (
-  SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER o, 0)) / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER o, 0)) AS level
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER o, 0)) / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER o, 0)) AS level,
+         row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS nth
   FROM ranked WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-chosen AS (SELECT min(level) FILTER (WHERE cap > level * weight) AS lowest FROM levels),
+chosen AS (SELECT arg_min(level, nth) FILTER (WHERE cap > level * weight) AS lowest FROM levels),
 targets AS (
   SELECT source, source_size, CASE WHEN l.cap > l.level * l.weight THEN (SELECT lowest FROM chosen) * l.weight ELSE l.cap END AS target FROM levels l),
 plans AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END AS epochs FROM targets),
