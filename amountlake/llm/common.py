@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: ASCII white space: the complement of the word pattern ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, bool)
@@ -59,7 +61,8 @@ def release(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Bound what one Arrow batch of long texts holds."""
+    """Bound what one Arrow batch of long texts holds; make sure that workers can import the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
