@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arithmetic, calibration, gates
+from ..functions import calibration
 from ..functions.normalize import normalize_text
 from ..runtime import ship
 from .tagger import propose_spans
@@ -20,35 +20,23 @@ Knots = tuple[Sequence[float], Sequence[float]]
 
 
 def amounts_of(text: Column, normal: Column, spans: Column, strict: bool = False, min_confidence: float | None = None, knots: Knots | None = None) -> Column:
-    """Spans that pass the gates, evaluated: all native expressions over the proposed token arrays."""
+    """The proposed spans that no gate drops, as amounts."""
     same = F.length(text) == F.length(normal)
 
-    def one(s: Column, value: Column) -> Column:
-        tokens = s["tokens"]
+    def one(s: Column) -> Column:
         shown = F.when(same, F.substring(text, s["start"] + 1, s["end"] - s["start"])).otherwise(s["text"])
-        return F.struct(
-            shown.alias("span"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            value["value"].alias("value"),
-            value["low"].alias("range_low"),
-            value["high"].alias("range_high"),
-            value["unit"].alias("unit"),
-            arithmetic.currency(normal, s["start"], s["end"]).alias("currency"),
-            calibration.calibrate(s["raw_confidence"], knots).alias("confidence"),
-            s["raw_confidence"].alias("raw_confidence"),
-            gates.verified(tokens).alias("verified"),
-            F.transform(F.filter(tokens, lambda t: t["cls"] != "SEP"), lambda t: t["cls"]).alias("classes"),
-            F.transform(tokens, lambda t: F.struct(t["cls"].alias("cls"), t["text"].alias("text"))).alias("tokens"),
-        ).cast(AMOUNT)
-
-    kept = F.filter(spans, lambda s: ~gates.dropped(s["tokens"], arithmetic.currency(normal, s["start"], s["end"])))
-    out = F.transform(kept, lambda s: arithmetic.let(arithmetic.evaluate(s["tokens"]), lambda value: one(s, value)))
-    if strict:
-        out = F.filter(out, lambda a: a["verified"])
-    if min_confidence is not None:
-        out = F.filter(out, lambda a: a["confidence"] >= min_confidence)
-    return out
+        solid = F.filter(s["tokens"], lambda t: t["cls"] != "SEP")
+        fields = {
+            "span": shown, "start": s["start"], "end": s["end"], "value": s["value"], "range_low": s["low"], "range_high": s["high"], "unit": s["unit"], "currency": s["currency"],
+            "confidence": calibration.calibrate(s["raw_confidence"], knots), "raw_confidence": s["raw_confidence"], "verified": s["verified"],
+            "classes": F.transform(solid, lambda t: t["cls"]),
+            "tokens": F.transform(s["tokens"], lambda t: F.struct(t["cls"].alias("cls"), t["text"].alias("text"))),
+        }
+        return F.struct(*[v.alias(k) for k, v in fields.items()]).cast(AMOUNT)
+
+    keep = lambda s: s["gate"].isNull() & (s["verified"] if strict else F.lit(True))
+    out = F.transform(F.filter(spans, keep), one)
+    return out if min_confidence is None else F.filter(out, lambda a: a["confidence"] >= min_confidence)
 
 
 def parse_df(df: DataFrame, column: str = "text", out: str = "amounts", tagger: Callable[[Column], Column] | None = None, **options) -> DataFrame:

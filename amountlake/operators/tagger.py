@@ -18,10 +18,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.fold import evaluate, gate, verified
 from ..functions.gates import TOKEN
 from ..functions.lexicon import PACKS, PREFIXES, RANGE_SIGNS, UNITS, currency_patterns, key, lexicon
 
-SPAN = f"struct<start:int,end:int,text:string,raw_confidence:double,tokens:array<{TOKEN}>>"
+SPAN = (
+    "struct<start:int,end:int,text:string,raw_confidence:double,value:double,low:double,high:double,unit:string,currency:string,gate:string,verified:boolean,"
+    f"tokens:array<{TOKEN}>>"
+)
 _RUN = re.compile(r"[0-9]+|(?:[^\W\d_][̀-ͯऀ-ःऺ-ॏॢॣઁ-ઃ઼-્‌‍]*)+|\s+|.", re.DOTALL)
 Token = tuple[str, str, int, int]
 #: connectors that join two amounts, not the ends of one range, if the left has a unit
@@ -88,6 +92,7 @@ def split_word(word: str, depth: int = 0, packs: tuple[str, ...] = PACKS) -> tup
     return None
 
 
+@lru_cache(maxsize=1 << 16)
 def _near_unit(word: str) -> str | None:
     if len(word) < 5:
         return None
@@ -229,22 +234,43 @@ def _score(token: dict) -> float:
     return 1.0 if token["exact"] or not _solid(token["cls"]) or token["cls"] == "DIGITS" else 0.9 if token["justified"] else 0.7
 
 
+@lru_cache(maxsize=1 << 16)
+def _flags_of(cls: str, text: str, following: str | None) -> dict:
+    return lexicon().flags(cls, text, following)
+
+
 def annotate(span: list[Token]) -> list[dict]:
-    lex = lexicon()
-    return [lex.flags(cls, text, span[i + 1][1] if i + 1 < len(span) else None) | {"start": a, "end": b} for i, (cls, text, a, b) in enumerate(span)]
+    following = [t[1] for t in span[1:]] + [None]
+    return [_flags_of(cls, text, after) | {"start": a, "end": b} for (cls, text, a, b), after in zip(span, following)]
 
 
 def propose(text: str | None) -> list[dict]:
     if not text:
         return []
-    out = []
-    for span in spans_of(text):
-        if _counted(span, text):
-            continue
-        tokens = annotate(span)
-        a, b = span[0][2], span[-1][3]
-        out.append({"start": a, "end": b, "text": text[a:b], "raw_confidence": sum(map(_score, tokens)) / len(tokens), "tokens": tokens})
-    return out
+    return [finish(span, text) for span in spans_of(text) if not _counted(span, text)]
+
+
+def finish(span: list[Token], text: str) -> dict:
+    """A span with its value, gate, currency and verification."""
+    tokens = annotate(span)
+    a, b = span[0][2], span[-1][3]
+    left, right = _markers()
+    marked = bool(left.search(text[max(0, a - 8) : a]) or right.match(text[b : b + 8]))
+    value, low, high, unit = evaluate([t[:2] for t in span])
+    return {
+        "start": a,
+        "end": b,
+        "text": text[a:b],
+        "raw_confidence": sum(map(_score, tokens)) / len(tokens),
+        "value": value,
+        "low": low,
+        "high": high,
+        "unit": unit,
+        "currency": "INR" if marked else None,
+        "gate": gate(tokens, marked),
+        "verified": verified(tokens),
+        "tokens": tokens,
+    }
 
 
 def _propose(text: pd.Series) -> pd.Series:
