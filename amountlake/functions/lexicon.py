@@ -89,6 +89,13 @@ class Lexicon:
             for c in classes:
                 self.by_class[c].append(s)
         self.phrases = sorted((s for s in self.forms if " " in s), key=len, reverse=True)
+        by = lambda p, *kinds: tuple(s for s, c in self.by_pack[p].items() if c.startswith(kinds))
+        self.fused = {p: by(p, *(x.upper() for x in self.lists["fused", p])) if self.lists["fused", p] else () for p in PACKS}
+        self.prefixed = {p: tuple(s for s in by(p, "PFX_") if len(s) > 2) for p in PACKS}
+        self.units = {p: tuple(s for s in by(p, "UNIT_") if len(s) > 2) for p in PACKS}
+        self.glued = {p: tuple(self.lists["glue", p]) for p in PACKS}
+        self.glued_only = {s for p in PACKS for s in self.lists["glue", p]} - {s for p in PACKS for s in self.lists["free", p]}
+        self.endings = {p: tuple(self.lists["suffix", p]) for p in PACKS}
         self._endings = {p: sorted(self.lists["suffix", p], key=lambda s: (-len(s), s)) for p in PACKS}
 
     def heads(self, word: str, pack: str) -> list[str]:

@@ -25,7 +25,7 @@ FAMILIES = {"casual": 16, "classifieds": 16, "news": 13, "salary": 9, "ranges":
 TEMPLATES = {
     "hi_latn": {"plain": ["yeh gaadi {P} mein mili thi", "unka kharcha {P} se upar gaya", "dukaan ka bhaada {P}", "{P} wapas karna hai mujhe"], "two": ["pehle {P} aur baad mein {P} diye", "{P} nahi balki {P} lagenge"], "none": ["aaj mausam accha hai", "woh kal gaon jaayega", "train der se aayi"]},
     "hi_deva": {"plain": ["यह गाड़ी {P} में मिली थी", "उनका खर्चा {P} निकला", "{P} वापस करना है मुझे"], "two": ["पहले {P} फिर बाद में {P} दिए"], "none": ["आज मौसम अच्छा है", "वह कल गाँव जाएगा"]},
-    "mr_deva": {"plain": ["ही गाडी {P} मिळाली होती", "त्यांचा खर्च {P} झाला"], "two": ["आधी {P} मग नंतर {P} दिले"], "none": ["आज हवा छान आहे", "तो उद्या गावी जाईल"]},
+    "mr_deva": {"plain": ["ही गाडी {P} मिळाली होती", "त्यांचा खर्च {P} झाला"], "two": ["काल {P} मग नंतर {P} दिले"], "none": ["आज हवा छान आहे", "तो उद्या गावी जाईल"]},
     "gu_gujr": {"plain": ["આ ગાડી {P} મળી હતી", "એમનો ખર્ચ {P} થયો"], "two": ["પહેલાં {P} પછી {P} આપ્યા"], "none": ["આજે હવામાન સારું છે", "તે કાલે ગામ જશે"]},
 }
 RANGE_WORD = {"hi_latn": "se", "hi_deva": "से", "mr_deva": "ते", "gu_gujr": "થી"}

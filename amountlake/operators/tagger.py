@@ -52,8 +52,7 @@ def split_word(word: str, depth: int = 0, packs: tuple[str, ...] = PACKS) -> tup
     """(class, piece) of one letter run, or None if no pack explains it."""
     lex = lexicon()
     low = key(word)
-    glued_only = {s for p in packs for s in lex.lists["glue", p]} - {s for p in packs for s in lex.lists["free", p]}
-    if low in glued_only or low in lex.blocked:
+    if low in lex.glued_only or low in lex.blocked:
         return None
     for pack in packs:
         if low in lex.by_pack[pack]:
@@ -62,7 +61,7 @@ def split_word(word: str, depth: int = 0, packs: tuple[str, ...] = PACKS) -> tup
         return None
     for pack in packs:
         forms = lex.by_pack[pack]
-        for tail in lex.lists["glue", pack]:
+        for tail in lex.glued[pack]:
             if low.endswith(tail) and len(low) > len(tail):
                 head = word[: -len(tail)]
                 parts = split_word(head, depth + 1, (pack,))
@@ -71,16 +70,15 @@ def split_word(word: str, depth: int = 0, packs: tuple[str, ...] = PACKS) -> tup
                     parts = ((bound[0], head),) if bound else None
                 if parts and all(c.startswith(("CARD_", "PFX_")) for c, _ in parts):
                     return (*parts, (forms[tail], word[len(head) :]))
-        fused = {x.upper() for x in lex.lists["fused", pack]}
-        for head in sorted((s for s, c in forms.items() if c in fused and low.startswith(s) and len(s) < len(low)), key=len, reverse=True):
+        for head in sorted((s for s in lex.fused[pack] if low.startswith(s) and len(s) < len(low)), key=len, reverse=True) if low.startswith(lex.fused[pack]) else ():
             parts = split_word(word[len(head) :], depth + 1, (pack,))
             if parts and parts[0][0].startswith("CARD_"):
                 return ((forms[head], word[: len(head)]), *parts)
-        for head in sorted((s for s, c in forms.items() if c.startswith("PFX_") and len(s) > 2 and low.startswith(s)), key=len, reverse=True):
+        for head in sorted((s for s in lex.prefixed[pack] if low.startswith(s)), key=len, reverse=True) if low.startswith(lex.prefixed[pack]) and low.endswith(lex.units[pack]) else ():
             cls = forms.get(low[len(head) :], "")
             if cls.startswith("UNIT_") and len(low) - len(head) > 2:
                 return ((forms[head], word[: len(head)]), (cls, word[len(head) :]))
-        for stem in lex.heads(low, pack):
+        for stem in lex.heads(low, pack) if low.endswith(lex.endings[pack]) else ():
             parts = split_word(word[: len(stem)], depth + 1, (pack,))
             if not parts or (len(parts) == 1 and len(stem) < 3):
                 continue
@@ -217,9 +215,9 @@ def _counted(span: list[Token], text: str) -> bool:
     marked = bool(left.search(text[max(0, a - 8) : a]) or right.match(text[b : b + 8]))
     if not any(t[0].startswith(("UNIT_", "DIGITS")) for t in solid):
         small = sum(float(t[0][5:]) for t in solid if t[0].startswith("CARD_")) < 20
-        return small and not marked and bool(text[:a].strip() or text[b:].strip())
+        return small and not marked and bool(text[max(0, a - REACH) : a].strip() or text[b : b + REACH].strip())
     if all(t[0] == "DIGITS" for t in solid) and not marked:
-        split = re.search(r"\d{4,} $", text[:a]) or re.match(r" \d{4,}", text[b:])
+        split = re.search(r"\d{4,} $", text[max(0, a - REACH) : a]) or re.match(r" \d{4,}", text[b : b + REACH])
         postal = len(solid) == 1 and b - a == 6 and POSTAL.intersection(re.findall(r"\w[\w\u0900-\u0aff]*", text[max(0, a - 16) : a]))
         return bool(split or postal)
     return False
@@ -244,10 +242,45 @@ def annotate(span: list[Token]) -> list[dict]:
     return [_flags_of(cls, text, after) | {"start": a, "end": b} for (cls, text, a, b), after in zip(span, following)]
 
 
+REACH = 64
+
+
+@lru_cache(maxsize=1 << 17)
+def _may_count(word: str) -> bool:
+    parts = split_word(word)
+    return word == "quarter" or bool(parts) and any(_solid(c) for c, _ in parts)
+
+
+def _stretches(text: str) -> list[tuple[int, int]]:
+    """Parts of a long text around digits and number words, cut where nothing near can belong to an amount."""
+    out: list[list[int]] = []
+    for run in _RUN.finditer(text):
+        first = run.group()[0]
+        if first.isspace() or not (first.isdigit() or (is_word(first) and _may_count(run.group()))):
+            continue
+        a, b = max(0, run.start() - REACH), run.end() + REACH
+        if out and a <= out[-1][1]:
+            out[-1][1] = b
+        else:
+            out.append([a, b])
+    for part in out:
+        while part[0] > 0 and not text[part[0] - 1].isspace():
+            part[0] -= 1
+        while part[1] < len(text) and not text[part[1]].isspace():
+            part[1] += 1
+    return [(a, min(b, len(text))) for a, b in out]
+
+
 def propose(text: str | None) -> list[dict]:
     if not text:
         return []
-    return [finish(span, text) for span in spans_of(text) if not _counted(span, text)]
+    out = []
+    for a, b in _stretches(text) if len(text) > 4 * REACH else [(0, len(text))]:
+        for span in spans_of(text[a:b]):
+            span = [(c, t, x + a, y + a) for c, t, x, y in span]
+            if not _counted(span, text):
+                out.append(finish(span, text))
+    return out
 
 
 def finish(span: list[Token], text: str) -> dict:
