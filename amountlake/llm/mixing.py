@@ -128,5 +128,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of documents the mix takes, each as often as it is taken."""
     plan = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("_t").alias("_h"), "copies").dropDuplicates(["_d", "_h"])
-    joined = docs.withColumn("_t", F.xxhash64("text")).join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_t"))
+    joined = rows.join(plan, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")))
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n")).select("_row.*")

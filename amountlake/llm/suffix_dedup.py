@@ -13,7 +13,9 @@ The sort is by ranges of content and document, so a passage in a third of all do
 first and last suffix of each range are compared by the driver (two rows per task).
 
 A span is ``late`` if the document it repeats has a smaller doc_id (null last), or the same one and a smaller
-text hash: these may be cut with one copy of each passage left.  Repeats inside one document are not counted.
+text hash.  The first document of a passage is never late, so cutting late spans leaves at least one copy; it may
+leave more where contexts differ, as a suffix is compared with its neighbours only.  Repeats inside one document
+are not counted.
 
 Defined results: documents without repeats, null, empty and short texts among them, have no row.  Rows that agree
 in doc_id and text are one document.  Other columns are ignored.
