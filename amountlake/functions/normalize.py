@@ -22,7 +22,7 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    return F.when(text.rlike(_MAY_CHANGE + r"|[नरळक-जडढफय̀-ͯ]़"), F.pandas_udf(_nfc, "string", F.PandasUDFType.SCALAR)(text)).otherwise(text)
+    return F.when(text.rlike(_MAY_CHANGE + r"|[नरळक-जडढफय̀-ͯ]़"), F.pandas_udf(_nfc, "string")(text)).otherwise(text)
 
 
 def normalize_text(text: Column) -> Column:

@@ -213,7 +213,7 @@ def verify_lines(lines: DataFrame, gold: DataFrame | None = None, order: tuple[s
         got = [check_line(plain(r)) for r in rows.to_dict("records")]
         return pd.DataFrame({"reason": [g[0] for g in got], "spans": [g[1] for g in got]})
 
-    out = lines.withColumn("_c", F.pandas_udf(run, CHECKED, F.PandasUDFType.SCALAR)(F.struct(*fields))).withColumn("_n", normalize_text(F.col("text")))
+    out = lines.withColumn("_c", F.pandas_udf(run, CHECKED)(F.struct(*fields))).withColumn("_n", normalize_text(F.col("text")))
     if gold is not None:
         known = gold.select(normalize_text(F.col("text")).alias("_n"), F.lit(True).alias("_gold")).distinct()
         out = out.join(known, "_n", "left")

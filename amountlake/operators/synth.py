@@ -157,4 +157,4 @@ def generate(spark: SparkSession, n: int, seed: int = 13, weights: dict[str, flo
         return pd.DataFrame({"text": [g["text"] for g in got], "spans": [g["spans"] for g in got]})
 
     df = spark.range(n).withColumnRenamed("id", "row").withColumn("lang", lang)
-    return df.withColumn("_m", F.pandas_udf(run, SCHEMA, F.PandasUDFType.SCALAR)("row", "lang")).select("row", "lang", "_m.text", "_m.spans")
+    return df.withColumn("_m", F.pandas_udf(run, SCHEMA)("row", "lang")).select("row", "lang", "_m.text", "_m.spans")

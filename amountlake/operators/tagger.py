@@ -316,7 +316,7 @@ def _flags(tokens: pd.Series) -> pd.Series:
 
 def proposer():
     """The tagger as a UDF."""
-    return F.pandas_udf(_propose, f"array<{SPAN}>", F.PandasUDFType.SCALAR)
+    return F.pandas_udf(_propose, f"array<{SPAN}>")
 
 
 def propose_spans(text: Column) -> Column:
@@ -326,6 +326,6 @@ def propose_spans(text: Column) -> Column:
 
 def with_flags(tokens: Column) -> Column:
     """Lexicon flags on an array<struct<cls, text>>."""
-    return F.pandas_udf(_flags, f"array<{TOKEN}>", F.PandasUDFType.SCALAR)(tokens)
+    return F.pandas_udf(_flags, f"array<{TOKEN}>")(tokens)
 
 

@@ -149,6 +149,6 @@ def weights_tagger(spark: SparkSession, made: dict | str):
         return pd.Series(out)
 
     def tagger(text: Column) -> Column:
-        return F.pandas_udf(run, f"array<{SPAN}>", F.PandasUDFType.SCALAR)(text)
+        return F.pandas_udf(run, f"array<{SPAN}>")(text)
 
     return tagger
