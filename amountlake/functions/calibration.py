@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_ENDS = [0.0, 1.0]
+
+
 def pav(values: Sequence[float], weights: Sequence[float] | None = None) -> list[float]:
     """The nondecreasing sequence nearest to values in weighted squares; equal neighbours pool."""
     blocks: list[list[float]] = []
@@ -29,9 +32,9 @@ def fit_isotonic(records: DataFrame, raw: str = "raw", outcome: str = "correct",
 def fit_breakpoints(xs: Sequence[float], ys: Sequence[float], most: int = 32) -> tuple[list[float], list[float]]:
     """Knots at the middles of constant blocks and at the ends, thinned to ``most`` where they deviate least."""
     if not xs:
-        return [0.0, 1.0], [0.0, 1.0]
+        return _ENDS, _ENDS
     if len(xs) == 1:
-        return [0.0, 1.0], [ys[0], ys[0]]
+        return _ENDS, [ys[0]] * 2
     knots, a = [], 0
     for b in range(1, len(xs) + 1):
         if b == len(xs) or ys[b] != ys[a]:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from .lexicon import PREFIXES, UNITS
 
+NUMERIC = frozenset("DIGITS COMMA DOT".split())
 Item = tuple[str, float]
 Result = tuple[float, float | None, float | None, str | None]
 _NATIVE = str.maketrans("०१२३४५६७८९૦૧૨૩૪૫૬૭૮૯", "01234567890123456789")
@@ -26,7 +27,7 @@ def merge(tokens: Sequence[tuple[str, str]]) -> list[Item]:
     items: list[Item] = []
     open_number: list[str] = []
     for cls, text in [*((c, t) for c, t in tokens if c != "SEP"), ("", "")]:
-        if cls in ("DIGITS", "DOT", "COMMA"):
+        if cls in NUMERIC:
             open_number.append(text)
             continue
         if open_number:
@@ -75,7 +76,7 @@ def _name(cls: str | None) -> str | None:
 
 
 def _side_by_side(items: list[Item]) -> Result | None:
-    ends = [i for i, (cls, _) in enumerate(items) if cls in UNITS]
+    ends = [i for i, item in enumerate(items) if item[0] in UNITS]
     for before, here, there in zip([-1, *ends], ends, ends[1:]):
         numbered = all(any(c == "NUM" or c.startswith(("CARD_", "PFX_")) for c, _ in items[a + 1 : b]) for a, b in ((before, here), (here, there)))
         if numbered and UNITS[items[there][0]][0] >= UNITS[items[here][0]][0]:
@@ -86,7 +87,7 @@ def _side_by_side(items: list[Item]) -> Result | None:
 
 
 def _adjacent_cards(tokens: list[tuple[str, str]]) -> Result | None:
-    cards = [i for i, (cls, _) in enumerate(tokens) if cls.startswith("CARD_")]
+    cards = [i for i, token in enumerate(tokens) if token[0].startswith("CARD_")]
     for i, j in zip(cards, cards[1:]):
         if int(tokens[i][0][5:]) < int(tokens[j][0][5:]) and all(c == "SEP" for c, _ in tokens[i + 1 : j]):
             low, high = (_single(tokens[:gone] + tokens[gone + 1 :]) for gone in (j, i))
@@ -124,7 +125,7 @@ def evaluate(tokens: Sequence[tuple[str, str]]) -> Result:
     return low, low, high, _name(u or x)
 
 
-GLUE = ("SEP", "RANGE", "DOT", "COMMA", "O")
+GLUE = frozenset("O SEP RANGE COMMA DOT".split())
 
 
 def _counts(cls: str) -> bool:
@@ -144,7 +145,7 @@ def gate(tokens: Sequence[dict], marked: bool) -> str | None:
     if len(solid) == 1 and sole.startswith("CARD_") and not solid[0]["exact"]:
         return "bare_cardinal"
     for before, t in zip(["", *classes], tokens):
-        if t["cls"] in UNITS and len(t["text"]) <= 2 and t["ambiguous"] and t["known"] and before not in ("DIGITS", "DOT", "COMMA"):
+        if t["cls"] in UNITS and len(t["text"]) <= 2 and t["ambiguous"] and t["known"] and before not in NUMERIC:
             return "loose_symbol_unit"
     if not any(t["known"] for t in solid if t["cls"].startswith(("CARD_", "PFX_"))) and any(not t["near"] for t in solid if t["cls"] in UNITS):
         return "unknown_unit"

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+GLUE = "O SEP RANGE COMMA DOT".split()
 TOKEN = "struct<cls:string,text:string,start:int,end:int,justified:boolean,known:boolean,exact:boolean,near:boolean,ambiguous:boolean,blocked:boolean,ordinary:boolean>"
 
 
@@ -24,7 +25,7 @@ def meaningful(tokens: Column) -> Column:
 
 def _sole(tokens: Column) -> Column:
     """The only token that isn't glue, else null."""
-    solid = F.filter(tokens, lambda t: ~t["cls"].isin("SEP", "RANGE", "DOT", "COMMA", "O"))
+    solid = F.filter(tokens, lambda t: ~t["cls"].isin(*GLUE))
     return F.when(F.size(solid) == 1, F.get(solid, F.lit(0)))
 
 

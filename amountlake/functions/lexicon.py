@@ -14,8 +14,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-PACKS = ("hi_latn", "hi_deva", "mr_deva", "gu_gujr")
-ALIASES = {"": "hi_latn", "latn": "hi_latn", "deva": "hi_deva", "mr": "mr_deva", "gu": "gu_gujr"}
+PACKS = tuple("hi_latn hi_deva mr_deva gu_gujr".split())
+ALIASES = dict(zip(("", "latn", "deva", "mr", "gu"), (PACKS[0], *PACKS)))
 
 #: unit class -> (value, name in results)
 UNITS = {
@@ -38,7 +38,7 @@ PREFIXES = {
     "PFX_DHAI": (2.5, None),
     "PFX_SAADHE": (0.5, 0.5),
 }
-CLASSES = ("O", "SEP", "RANGE", "DIGITS", "DOT", "COMMA", *PREFIXES, *(f"CARD_{n}" for n in range(1, 100)), *UNITS)
+CLASSES = (*"O SEP RANGE DIGITS DOT COMMA".split(), *PREFIXES, *(f"CARD_{n}" for n in range(1, 100)), *UNITS)
 RANGE_SIGNS = frozenset("-–—/")
 _DIGITS = {ord(c): str(i) for base in (0x0966, 0x0AE6) for i, c in enumerate(map(chr, range(base, base + 10)))}
 

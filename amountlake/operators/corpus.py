@@ -16,7 +16,7 @@ from ..runtime import ship
 from .parse import parse_df
 from .tagger import exact_class, split_word, tokens_of
 
-WEIGHTS = {"UNIT": 4, "PFX": 4, "CARD": 1, "CUR": 3, "SYMBOL": 4}
+WEIGHTS = dict.fromkeys(("SYMBOL", "UNIT", "PFX"), 4) | {"CUR": 3, "CARD": 1}
 
 
 def lexicon_hits(df: DataFrame, id_column: str, text: str = "text") -> DataFrame:
@@ -32,7 +32,7 @@ def lexicon_hits(df: DataFrame, id_column: str, text: str = "text") -> DataFrame
     raw = df.select(id_column, F.explode(F.split(text, r"\s+")).alias("raw"))
     currency = raw.filter(F.lower(F.regexp_replace("raw", r"^[.,:;!?]+|[.,:;!?]+$", "")).isin(money)).select(id_column, F.lit("CUR").alias("signal"), F.lit(True).alias("long"))
     sign = df.filter(F.col(text).contains("₹")).select(id_column, F.lit("CUR").alias("signal"), F.lit(True).alias("long"))
-    glued = F.regexp_extract("raw", r"^[\d.,०-९૦-૯]+([A-Za-z]{1,4})$", 1)
+    glued = F.regexp_extract("raw", r"^[૦-૯०-९0-9,.]+([a-zA-Z]{1,4})$", 1)
     symbol = raw.filter(F.col("raw").isin(symbols) | glued.isin(symbols)).select(id_column, F.lit("SYMBOL").alias("signal"), F.lit(True).alias("long"))
     digits = df.filter(F.col(text).rlike(r"[\d०-९૦-૯]")).select(id_column, F.lit("DIGITS").alias("signal"), F.lit(True).alias("long"))
     every = hits.unionByName(currency).unionByName(sign).unionByName(symbol).unionByName(digits)

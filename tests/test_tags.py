@@ -1,5 +1,7 @@
 """Decoding of character tags, and the tagger from weights."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -30,36 +32,51 @@ def _classes(text, spans, **changes):
     return [[(t[0], t[1]) for t in tokens if t[0] != "SEP"] for tokens, _ in decode(text, bio, cls)]
 
 
+def _line(tagged):
+    """Text, and a span from "piece=CLASS piece=CLASS": blanks stand for themselves, + joins."""
+    pieces = []
+    for part in re.split(r"( |\+)", tagged):
+        if part != "+":
+            piece, _, cls = part.rpartition("=") if "=" in part else (part, "", "SEP")
+            pieces.append((cls, piece))
+    return "".join(p for _, p in pieces), pieces
+
+
+def _decoded(*tagged, glue=" ", **changes):
+    text, spans = "", []
+    for t in tagged:
+        text += glue if text else ""
+        own, pieces = _line(t)
+        spans.append((len(text), pieces))
+        text += own
+    return [" ".join(f"{t}={c}" for c, t in s) for s in _classes(text, spans, **changes)]
+
+
 def test_digits_and_points():
-    assert _classes("15000/month", [(0, [("DIGITS", "1500")])]) == [[("DIGITS", "15000")]]
-    text = "1.5cr"
-    assert _classes(text, [(0, [("DIGITS", "1"), ("O", "."), ("DIGITS", "5"), ("UNIT_CRORE", "cr")])]) == [[("DIGITS", "1"), ("DOT", "."), ("DIGITS", "5"), ("UNIT_CRORE", "cr")]]
+    assert _classes("15000/month", [(0, _line("1500=DIGITS")[1])]) == [[("DIGITS", "15000")]]
+    assert _decoded("1=DIGITS+.=O+5=DIGITS+cr=UNIT_CRORE") == ["1=DIGITS .=DOT 5=DIGITS cr=UNIT_CRORE"]
 
 
 def test_connectors():
-    text = "2 lakh/3 lakh"
-    assert _classes(text, [(0, [("DIGITS", "2"), ("SEP", " "), ("UNIT_LAKH", "lakh"), ("SEP", "/"), ("DIGITS", "3"), ("SEP", " "), ("UNIT_LAKH", "lakh")])])[0][2] == ("RANGE", "/")
+    assert _decoded("2=DIGITS lakh=UNIT_LAKH+/=SEP+3=DIGITS lakh=UNIT_LAKH") == ["2=DIGITS lakh=UNIT_LAKH /=RANGE 3=DIGITS lakh=UNIT_LAKH"]
     assert repair_classes("dedh-lakh", 0, 9, ["PFX_DEDH"] * 4 + ["RANGE"] + ["UNIT_LAKH"] * 4)[4] == "SEP"
 
 
 def test_two_spans_join():
-    text = "दो लाख से तीन लाख"
-    spans = [(0, [("CARD_2", "दो"), ("SEP", " "), ("UNIT_LAKH", "लाख")]), (10, [("CARD_3", "तीन"), ("SEP", " "), ("UNIT_LAKH", "लाख")])]
-    assert len(_classes(text, spans, classes={7: "RANGE", 8: "RANGE"})) == 1
-    assert _classes("das bees hazaar", [(0, [("CARD_10", "das")]), (4, [("CARD_20", "bees")]), (9, [("UNIT_HAZAAR", "hazaar")])]) == [[("CARD_10", "das"), ("CARD_20", "bees"), ("UNIT_HAZAAR", "hazaar")]]
-    assert len(_classes("5 lakh 3 crore", [(0, [("DIGITS", "5"), ("SEP", " "), ("UNIT_LAKH", "lakh")]), (7, [("DIGITS", "3"), ("SEP", " "), ("UNIT_CRORE", "crore")])])) == 2
-    assert len(_classes("das, hazaar", [(0, [("CARD_10", "das")]), (5, [("UNIT_HAZAAR", "hazaar")])])) == 2
+    assert len(_decoded("दो=CARD_2 लाख=UNIT_LAKH", "तीन=CARD_3 लाख=UNIT_LAKH", glue=" से ", classes={7: "RANGE", 8: "RANGE"})) == 1
+    assert _decoded("das=CARD_10", "bees=CARD_20", "hazaar=UNIT_HAZAAR") == ["das=CARD_10 bees=CARD_20 hazaar=UNIT_HAZAAR"]
+    assert len(_decoded("5=DIGITS lakh=UNIT_LAKH", "3=DIGITS crore=UNIT_CRORE")) == 2
+    assert len(_decoded("das=CARD_10", "hazaar=UNIT_HAZAAR", glue=", ")) == 2
 
 
 def test_words_stay_whole():
-    assert _classes("unnasi hazaar", [(0, [("CARD_79", "unnasi"), ("SEP", " "), ("UNIT_HAZAAR", "hazaar")])], gaps=(3, 5)) == [[("CARD_79", "unnasi"), ("UNIT_HAZAAR", "hazaar")]]
-    assert _classes("पावणेचार", [(0, [("PFX_PAUNE", "पावणे"), ("CARD_4", "चार")])]) == [[("PFX_PAUNE", "पावणे"), ("CARD_4", "चार")]]
-    assert _classes("બસો", [(0, [("CARD_2", "બ"), ("UNIT_SAU", "સો")])]) == [[("CARD_2", "બ"), ("UNIT_SAU", "સો")]]
+    assert _decoded("unnasi=CARD_79 hazaar=UNIT_HAZAAR", gaps=(3, 5)) == ["unnasi=CARD_79 hazaar=UNIT_HAZAAR"]
+    for fused in ("पावणे=PFX_PAUNE+चार=CARD_4", "બ=CARD_2+સો=UNIT_SAU"):
+        assert _decoded(fused) == [fused.replace("+", " ")]
 
 
 def test_boundaries():
-    text = "das hazaar 1987"
-    assert _classes(text, [(0, [("CARD_10", "das"), ("SEP", " "), ("UNIT_HAZAAR", "hazaar"), ("SEP", " "), ("DIGITS", "1987")])]) == [[("CARD_10", "das"), ("UNIT_HAZAAR", "hazaar")]]
+    assert _decoded("das=CARD_10 hazaar=UNIT_HAZAAR 1987=DIGITS") == ["das=CARD_10 hazaar=UNIT_HAZAAR"]
 
 
 def _tiny(rng, channels=6, embed=4):
