@@ -72,13 +72,14 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """Add ``_k`` (doc_id, null last) and ``_t`` (hash of the text): with them equal, rows are copies of one row."""
-    return docs.withColumns(
-        {
-            "_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)),
-            "_t": F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), F.col("text")),
-        }
-    )
+    """Add ``_k`` (doc_id, null last) and ``_t``: with both equal, rows are copies of one row.
+
+    ``_t`` is a hash of the text, or 0 throughout if no doc_id occurs twice; it then costs shuffles nothing.
+    """
+    k = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    every, different = docs.agg(F.count(k), F.count_distinct(k)).first()
+    t = F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), F.col("text"))
+    return docs.withColumns({"_k": k, "_t": F.lit(0).cast("long") if every == different else t})
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
