@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -53,11 +54,19 @@ _BYTES = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >
 _AS_CHAR = {b: chr(b) for b in _BYTES} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _BYTES)}
 
 
+def _range(kind: str) -> str:
+    """Characters of a general category below U+0250, for use in a class."""
+    return "".join(re.escape(chr(i)) for i in range(0x250) if unicodedata.category(chr(i))[0] == kind)
+
+
+#: The pre-tokenizer's pattern for texts that hold nothing ``_SLOW`` finds.
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_range('L')}]+|[{_range('N')}]|[^\t-\r \x85\xa0{_range('L')}{_range('N')}]+")
+
+
 class Encoder:
     """Texts to serialized ids (little-endian, 2 bytes where the vocabulary allows)."""
 
     def __init__(self, path: str, memory: int = 1_000_000) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -65,7 +74,6 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
         self.known = all(made.get(k) == v for k, v in _PLAIN.items())
-        self.pieces = regex.compile(_PLAIN["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\t-\r \x85\xa0"), regex.V1)
         self.memory, self.cache = memory, {}
 
     def _learn(self, pieces: set[str]) -> None:
@@ -80,7 +88,7 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces.findall(t.lower()) if self.known and not _SLOW.search(t) else None for t in texts]
+        cut = [_PIECES.findall(t.lower()) if self.known and not _SLOW.search(t) else None for t in texts]
         new = set().union(*(c for c in cut if c is not None)).difference(self.cache)
         if new:
             self._learn(new)
