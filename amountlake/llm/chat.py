@@ -16,7 +16,6 @@ proportion.  Repeated rows give repeated results.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -198,7 +197,3 @@ def digest(formatted: DataFrame) -> DataFrame:
     """conv_id, part, n_turns, n_found, n_right, rendered_sha256 of formatted transcripts with a column roles."""
     same = F.filter(F.transform(F.col("roles"), lambda r, i: r == F.get(F.col("turns.role"), i)), lambda x: x)
     return formatted.select("conv_id", "part", F.size("roles").cast("long").alias("n_turns"), F.size("turns").cast("long").alias("n_found"), F.size(same).cast("long").alias("n_right"), F.sha2("rendered", 256).alias("rendered_sha256"))
-
-
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -165,9 +165,6 @@ class Words:
         values = _TABLE[self.data[np.repeat(self.start, size) + inside]] * powers(_BASE, int(size.max()))[inside]
         return mix(np.add.reduceat(values, size.cumsum() - size) + size.astype(np.uint64))
 
-    def doc(self) -> np.ndarray:
-        """The text each word is of."""
-        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
 def grams(words: np.ndarray, k: int, salt: int = 1) -> np.ndarray:

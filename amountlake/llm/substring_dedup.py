@@ -91,7 +91,7 @@ def dedup(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
     lean = keyed.select("_k", "_t", "text")
     marks = materialize(repeated_anchors(lean, k, window), "anchors")
     parts = marks.filter("not whole").groupBy("_k", "_t").agg(F.collect_set("p").alias("ps"))
-    windows = materialize(_windows(_unique(lean).join(parts, ["_k", "_t"]), k, window), "windows")
+    windows = materialize(_windows(lean.join(parts, ["_k", "_t"]), k, window), "windows")
     first = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("_k", "_t", "s")).alias("least")).filter("n > 1").drop("n")
     late = windows.join(first, ["h1", "h2"]).filter(F.struct("_k", "_t", "s") != F.col("least")).select("_k", "_t", F.col("s").alias("at"), F.lit(False).alias("anchor"))
     every = late.unionByName(marks.filter("whole").select("_k", "_t", F.col("p").alias("at"), F.lit(True).alias("anchor")))
@@ -107,10 +107,6 @@ def dedup(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
     )
 
 
-def _unique(lean: DataFrame) -> DataFrame:
-    return lean
-
-
 def _cut(part: pa.RecordBatch, k: int, window: int) -> pa.RecordBatch:
     words = Words(part.column("text"))
     ps, ss = _positions(part.column("ps"), words), _positions(part.column("ss"), words)
