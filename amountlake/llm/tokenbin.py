@@ -11,8 +11,8 @@ A task writes its shard under a name of its own and renames it; one that runs ag
 
 Encoding is the tokenizer library's.  For the tokenizer whose pre-tokenizer cuts letters, single digits
 and symbols apart, each distinct piece is encoded by the library's model once per worker and remembered
-(``memory`` pieces at most); texts with characters beyond U+024F, control separators or special
-token marks go through the library whole.
+(``memory`` pieces at most); texts with characters that are or lower to ones beyond U+024F, control
+separators or special token marks go through the library whole.
 
 Defined results: a null or empty text is the end id alone.  Repeated doc_ids are in order of their texts'
 hashes.  Other columns are ignored.  An empty table gives no shards and no rows.
@@ -49,7 +49,9 @@ _PLAIN = {
         ],
     },
 }
-_SLOW = re.compile("[\x1c-\x1fİɐ-\U0010ffff]|<\\|")
+#: Characters below U+0250 whose lower case is not.
+_RISING = "".join(chr(i) for i in range(0x250) if max(chr(i).lower()) >= "\u0250")
+_SLOW = re.compile(rf"[\x1c-\x1f{_RISING}\u0250-\U0010ffff]|<\|")
 _BYTES = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
 _AS_CHAR = {b: chr(b) for b in _BYTES} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _BYTES)}
 
@@ -81,7 +83,7 @@ class Encoder:
             self.cache.clear()
         tokenize, kind = self.library.model.tokenize, self.kind
         for piece in pieces:
-            word = piece if piece.isascii() else "".join(map(_AS_CHAR.__getitem__, piece.encode()))
+            word = "".join(map(_AS_CHAR.__getitem__, piece.encode()))
             self.cache[piece] = np.array([t.id for t in tokenize(word)], kind).tobytes()
 
     def whole(self, text: str) -> bytes:

@@ -255,6 +255,15 @@ def test_encoder_is_the_library():
         assert np.frombuffer(got, own.kind).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_keeps_every_character():
+    own = tokenbin.Encoder(path())
+    assert own.known
+    for c in map(chr, range(0x250)):
+        texts = [c, f"a{c}b", f"hello {c}{c}", f"{c}li gedir", f"AB{c}CD 1{c}2", f"!{c}'s {c}'"]
+        for text, got in zip(texts, own.encode(texts)):
+            assert got == own.whole(text), repr(text)
+
+
 def test_token_files(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
