@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from amountlake.llm import ann, chat, decontam, kn_quality, langid, mixing, simhash, substring_dedup, suffix_dedup, tokenbin
+from amountlake.llm import ann, chat, decontam, kn_quality, langid, mixing, simhash, similar, substring_dedup, suffix_dedup, tokenbin
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -474,3 +474,28 @@ def test_estimates_keep_their_bounds():
     bound = 3 * size * np.sqrt(1 - a**2) / a / np.sqrt(63) * np.sqrt((local**2).sum(2))
     error = np.abs(estimate - q @ ann._unit(x).T)
     assert (error <= bound).mean() > 0.99 and abs((estimate - q @ ann._unit(x).T).mean()) < 5e-3
+
+
+def test_similar(spark):
+    """Near copies far apart in SimHash go, less similar ones stay, rows without an id are judged."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(0, 60, 2):
+        w = words(rng, 200, 5000)
+        v = list(w)
+        for j in rng.sample(range(200), (1, 3, 4, 9)[i // 2 % 4]):
+            v[j] = f"z{j}"
+        rows += [(i, " ".join(w), "en", "s"), (i + 1, "\n".join(v).upper(), "fr", None)]
+    rows += [(None, rows[0][1], "en", "s"), (None, "alone a b", "en", "s"), (None, "alone a b", "en", "s"), (70, "x y", "en", "s"), (71, "X  Y", "en", "s"), (72, None, "en", "s"), (73, " ", "en", "s"), (74, "y x", "en", "s")]
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset() for w in (WORD.findall((r[1] or "").lower()) for r in rows)]
+    pairs = [(a, b) for b in range(len(rows)) for a in range(b) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = list(range(len(rows)))
+    for a, b in pairs:
+        root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    want = sorted(str(rows[x][0]) for x in set(root))
+    assert 5 < sum(b < 60 for _, b in pairs) < 30
+    df = frame(spark, rows)
+    got = similar.keep_one(df)
+    assert sorted(str(r.doc_id) for r in got.collect()) == want and got.columns == df.columns
+    assert similar.keep_one(df.limit(0)).count() == 0
+    assert simhash.keep_one(df).filter("doc_id < 60").count() > sum(x != "None" and int(x) < 60 for x in want)
