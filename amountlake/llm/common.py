@@ -13,7 +13,7 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +30,36 @@ _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for scratch tables; one of our own only where none is set."""
+    """The folder for scratch tables; one of our own only where none is set and all runs on this machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="amountlake-")
         atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/amountlake/{uuid.uuid4().hex}-{tag}"
+    _MADE.append(f"{shared_dir(spark)}/amountlake/{uuid.uuid4().hex}-{tag}")
+    return _MADE[-1]
+
+
+def made() -> list[str]:
+    """Scratch tables so far that were not deleted."""
+    return list(_MADE)
+
+
+def sweep(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _MADE.remove(path)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -71,6 +90,24 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
             raise
 
 
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], count: str, hot: int = 1_000_000, salts: int = 64) -> DataFrame:
+    """``big`` joined with the one row ``small`` has for each of its keys; column ``count`` there says how many of big's rows have it.
+
+    A key of over ``hot`` rows would be one task's work.  Such keys (at most one per ``hot`` rows of big, so few enough to
+    broadcast) are spread over ``salts`` tasks.
+    """
+    heavy = small.filter(F.col(count) > hot).select(*keys, F.lit(True).alias("_heavy"))
+    spread = F.pmod(F.xxhash64(*[c for c in big.columns if c not in keys]), F.lit(salts))
+    left = big.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.when(F.col("_heavy"), spread).otherwise(0)).drop("_heavy")
+    copies = F.when(F.col(count) > hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return left.join(small.withColumn("_salt", F.explode(copies)), [*keys, "_salt"]).drop("_salt")
+
+
+def bounded(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``rows``, of a few numbers each and read from a table, with a hint to broadcast them if there are at most ``most``."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def with_keys(docs: DataFrame) -> DataFrame:
     """Add ``_k`` (doc_id, null last) and ``_t``: with both equal, rows are copies of one row.
 

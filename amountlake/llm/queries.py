@@ -77,7 +77,7 @@ WITH sized AS (
   SELECT doc_id, source, text,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          coalesce((length(text) + 1) / (length(text) + 1 + 20 * (length(text) - length(translate(text, '%&*$#!@^~|<>{}=', '')))), 1.0)::DOUBLE AS quality,
-         (('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+         (('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents),
 keyed AS (SELECT *, -ln(u) / quality AS key FROM sized),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
