@@ -9,9 +9,13 @@ shared positional bytes; those reaching the guaranteed minimum are verified by b
 
 Equal fingerprints are one class before anything is indexed: a group of copies, of whatever size,
 is one posting.  A posting list longer than ``hot`` is not paired as it is: its members are posted again
-under every choice of two of the five positions left (a qualifying pair shares two there too).
+under every choice of two of the five positions left (a qualifying pair shares two there too).  Lists that are still
+longer are posted a last time: of the six half bytes in the three positions left, at most three differ, so
+under every choice of three of them.  That fixes 52 of 64 bits, so a list then has at most 4096 members however
+large the input is; every list is paired whole, and no link is lost.
+
 Components are found by alternating large-star and small-star steps on the links of classes; each
-round is a written table, nothing is collected.
+round is a written table, nothing is collected, and nodes with very many links are spread over tasks.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other.
 doc_id null takes part; a component of nothing but null ids has a null component_id.  Repeated
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw, slices, small_batches
+from .common import join_counted, materialize, raw, slices, small_batches
 
 _SPACES = b" \t\n\r\x0b\x0c"
 
@@ -75,34 +79,48 @@ def _byte(fp, i: int):
     return F.shiftrightunsigned(fp, 56 - 8 * i).bitwiseAND(F.lit(255))
 
 
-def _key(fp, positions: tuple[int, ...]):
-    mask = sum(255 << (56 - 8 * i) for i in positions)
-    return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
+def _mask(halves: tuple[int, ...]) -> int:
+    """Bits of the given half bytes (0 to 15, from the left), as a signed number."""
+    mask = sum(15 << (60 - 4 * i) for i in halves)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _bytes(positions: tuple[int, ...]) -> tuple[int, ...]:
+    return tuple(h for i in positions for h in (2 * i, 2 * i + 1))
+
+
+_TRIPLES = [c for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for c in combinations(half, 3)]
+_FIVES = list(combinations(range(8), 5))
+#: the masks a list is posted again under, by its own mask
+_NEXT = {_mask(_bytes(t)): [_mask(_bytes(c)) for c in _FIVES if set(t) <= set(c)] for t in _TRIPLES}
+_LAST = {_mask(_bytes(c)): [_mask(_bytes(c) + h) for h in combinations(_bytes(tuple(set(range(8)) - set(c))), 3)] for c in _FIVES}
+
+
+def _post(fps: DataFrame, masks) -> DataFrame:
+    return fps.select("fp", F.explode(masks).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key")).distinct()
 
 
-def _post(fps: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
-    return fps.select("fp", F.posexplode(F.array(*[_key(F.col("fp"), c) for c in choices])).alias("slot", "key"))
+def _again(posts: DataFrame, following: dict[int, list[int]]) -> DataFrame:
+    table = ", ".join(f"{k}L, array({', '.join(f'{m}L' for m in v)})" for k, v in following.items())
+    return _post(posts, F.element_at(F.expr(f"map({table})".replace("-9223372036854775808L", "(-9223372036854775807L - 1L)")), F.col("mask")))
 
 
 def links(fps: DataFrame, bits: int = 3, hot: int = 256) -> DataFrame:
     """a < b: all pairs of distinct fingerprints (column fp) that differ in 1 to ``bits`` bits; ``bits`` up to 3."""
     if not 0 <= bits <= 3:
         raise ValueError("the index is complete for up to 3 differing bits")
-    halves = [c for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for c in combinations(half, 3)]
-    posts = _post(fps, halves)
-    size = posts.groupBy("slot", "key").count().filter("count > 1")
-    posts = materialize(posts.join(size, ["slot", "key"]).select("slot", "key", "fp", (F.col("count") > hot).alias("hot")), "postings")
-    again = None
-    fives = list(combinations(range(8), 5))
-    for slot, triple in enumerate(halves):
-        inner = [c for c in fives if set(triple) <= set(c)]
-        one = posts.filter(F.col("hot") & (F.col("slot") == slot)).select("fp", F.posexplode(F.array(*[_key(F.col("fp"), c) for c in inner])).alias("five", "key"))
-        one = one.select((F.col("five") + 100 * (slot + 1)).alias("slot"), "key", "fp")
-        again = one if again is None else again.unionByName(one)
-    every = posts.filter(~F.col("hot")).select("slot", "key", "fp").unionByName(again)
-    left, right = every.withColumnRenamed("fp", "a"), every.withColumnRenamed("fp", "b")
+    posts, cold = _post(fps, F.array(*[F.lit(m).cast("long") for m in _NEXT])), None
+    for following in (_NEXT, _LAST, None):
+        size = posts.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
+        posts = materialize(join_counted(posts, size, ["mask", "key"], "n"), "postings")
+        own = posts.filter(F.col("n") <= hot) if following else posts
+        cold = own if cold is None else cold.unionByName(own)
+        if not following or posts.filter(F.col("n") > hot).isEmpty():
+            break
+        posts = _again(posts.filter(F.col("n") > hot), following)
+    left, right = (cold.select("mask", "key", F.col("fp").alias(x)) for x in "ab")
     shared = sum(F.when(_byte(F.col("a"), i) == _byte(F.col("b"), i), 1).otherwise(0) for i in range(8))
-    pairs = left.join(right, ["slot", "key"]).filter("a < b").filter(shared >= 8 - bits)
+    pairs = left.join(right, ["mask", "key"]).filter("a < b").filter(shared >= 8 - bits)
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b").distinct()
 
 
@@ -116,10 +134,10 @@ def components(edges: DataFrame) -> DataFrame:
     now, mark = materialize(edges.select("a", "b"), "edges"), None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).filter("x <> y").distinct()
-        low = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(low, "x").select(F.col("y").alias("x"), "m").filter("x <> m").union(low.select("x", "m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_counted(both.filter("v > u"), least, ["u"], "n").select(F.col("v").alias("x"), F.col("m").alias("y")).filter("x <> y").distinct()
+        low = large.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n"))
+        small = join_counted(large, low, ["x"], "n").select(F.col("y").alias("x"), "m").filter("x <> m").union(low.select("x", "m"))
         now = materialize(small.distinct().select(F.col("m").alias("a"), F.col("x").alias("b")), "star")
         before, mark = mark, _digest(now)
         if before == mark:
@@ -129,12 +147,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp (long), component_id of each row."""
     marked = materialize(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     roots = components(links(classes.select("fp"), bits))
-    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(ids, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = materialize(join_counted(placed, ids, ["root"], "members").select("fp", "component_id", "n"), "named")
+    return join_counted(marked, named, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -168,9 +169,9 @@ def test_simhash(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1, 256])
+@pytest.mark.parametrize("hot", [1, 40, 256])
 def test_simhash_links(spark, hot):
-    """Random neighbours, and a posting list of 300 that shares four bytes."""
+    """Random neighbours, and posting lists of 80 and more that share seven and five bytes."""
     rng = random.Random(1)
     fps = {rng.getrandbits(64) for _ in range(60)}
     for f in list(fps):
@@ -180,6 +181,7 @@ def test_simhash_links(spark, hot):
                 x ^= 1 << b
             fps.add(x)
     fps |= {(0xABCDEF12 << 32) | rng.getrandbits(8) for _ in range(80)}
+    fps |= {(0xFFCDEF1234 << 24) | rng.getrandbits(24) & 0x0F0F0F for _ in range(150)}
     want = {(min(a, b), max(a, b)) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 3}
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
@@ -197,6 +199,21 @@ def test_simhash_links(spark, hot):
     assert grouped == sorted(sorted(v) for v in wanted.values())
 
 
+def test_simhash_list_of_many(spark):
+    """Twenty thousand fingerprints that share five bytes make short lists, and their links are found."""
+    n = 20_000
+    fps = spark.range(n).select((F.lit(0x1122334455 << 24).cast("long") + F.pmod(F.xxhash64("id"), F.lit(1 << 24))).alias("fp")).distinct()
+    posts = simhash._again(simhash._again(fps.select("fp", F.lit(simhash._mask(simhash._bytes((0, 1, 2)))).alias("mask")), simhash._NEXT), simhash._LAST)
+    assert posts.groupBy("mask", "key").count().agg(F.max("count")).first()[0] <= 4096
+    have = {r.fp & 0xFFFFFF for r in fps.collect()}
+    near = {sum(1 << b for b in c) for d in (1, 2, 3) for c in combinations(range(24), d)}
+    own = [x for x in have if x % 512 == 7]
+    want = sum((x ^ d) in have for x in own for d in near)
+    found = simhash.links(fps)
+    low = lambda c: F.pmod(F.col(c), F.lit(512)) == 7
+    assert found.agg(F.sum(low("a").cast("int") + low("b").cast("int"))).first()[0] == want > 1000
+
+
 def test_mixing(spark, docs):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
@@ -466,23 +483,37 @@ def test_kneser_ney(spark):
 def test_chat(spark):
     rng = random.Random(10)
     rows = []
-    for c in range(80):
+    for c in range(100):
         for t in range(rng.randrange(1, 9)):
             text = "\n".join(" ".join(words(rng, rng.randrange(1, 12))) for _ in range(rng.randrange(1, 4)))
             rows.append((c, t, ("user", "assistant")[t % 2] if t or c % 5 else "system", text))
     rows += [(100, 0, None, None), (100, 1, "assistant", ""), (101, None, "user", "hi"), (None, 0, "user", "hello"), (102, 0, "user", "x " * 50_000), (103, 0, "user", "a"), (103, 0, "user", "a")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("states", F.lit(1)).withColumn("part", F.lit(1))
-    raw = chat.transcripts(table, segment=6).cache()
-    model = chat.fit(raw)
-    got = chat.digest(chat.format_transcripts(raw, model, ["conv_id", "part", "roles"])).collect()
-    plain = [r for r in got if r.conv_id is not None and r.conv_id < 100]
-    assert sum(r.n_right for r in plain) / sum(r.n_turns for r in plain) > 0.99
-    assert sum(r.n_turns for r in got) == len(rows) and max(r.n_turns for r in got) <= 6
-    assert chat.parse("User: hi\nthere\n\nBot: yes?\n", model) == [("user", "hi\nthere"), ("assistant", "yes?")]
-    assert chat.parse(None, model) == [] == chat.parse(" \n", model) and chat.render([("user", "a")]) == "<|user|>\na\n<|end|>\n"
-    assert chat.parse("### Instruction:\ndo it\n### Response:\nok", model) == [("user", "do it"), ("assistant", "ok")]
+    raw = chat.transcripts(table).cache()
+    known = raw.filter("conv_id < 100").filter(~chat.held_out(F.col("conv_id")))
+    model = chat.fit(known)
+    run = lambda raw, model: chat.format_transcripts(raw, model, ["conv_id", "part", "roles"]).cache()
+    right = lambda got: sum(r.n_right for r in got if r.held_out and r.conv_id < 100) / sum(r.n_turns for r in got if r.held_out and r.conv_id < 100)
+    formatted = run(raw, model)
+    got = chat.digest(formatted).collect()
+    nothing = chat.digest(run(raw, chat.fit(raw.limit(0)))).collect()
+    assert right(got) > 0.85 > right(nothing) + 0.1 and sum(r.held_out for r in got) > 10
+    assert sum(r.n_turns for r in got) == len(rows) and max(r.n_turns for r in got) == 8
+    assert sum(r.part is None for r in got) == 2 and all(r.n_turns == 1 for r in got if r.part is None)  # no place in a conversation
+    whole = {r.conv_id: r for r in formatted.filter("conv_id < 100").collect()}
+    cut = {}
+    for r in sorted(run(chat.transcripts(table, size=3), model).filter("conv_id < 100").collect(), key=lambda r: r.part):
+        cut.setdefault(r.conv_id, []).append(r)
+    assert max(map(len, cut.values())) == 3
+    for i, parts in cut.items():
+        assert "".join(r.rendered for r in parts) == whole[i].rendered
+        assert [t.role for r in parts for t in r.turns if not t.goes_on] == [t.role for t in whole[i].turns]
+    assert chat.transcripts(table.limit(0)).count() == 0
+    assert chat.parse("User: hi\nthere\n\nBot: yes?\n", model) == [("user", "hi\nthere", False), ("assistant", "yes?", False)]
+    assert chat.parse(None, model) == [] == chat.parse(" \n", model) and chat.render([("user", "a", False)]) == "<|user|>\na\n<|end|>\n"
+    assert chat.parse("### Instruction:\ndo it\n### Response:\nok", model) == [("user", "do it", False), ("assistant", "ok", False)]
     none = chat.fit(raw.limit(0))
-    assert chat.parse("Human: a\nAI: b", none) == [("user", "a"), ("assistant", "b")]
+    assert chat.parse("Human: a\nAI: b", none) == [("user", "a", False), ("assistant", "b", False)]
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "no marker at all")], "id int, text string")
     assert [len(r.turns) for r in chat.format_transcripts(odd, model, ["id"]).orderBy("id").collect()] == [0, 0, 1]
 
@@ -550,6 +581,16 @@ def test_estimates_keep_their_bounds():
     assert share[512] < 0.1 < share[64]
 
 
+def brute_similar(texts):
+    """Pairs of five-word similarity 0.8 or more, and the first place of each text's group."""
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset() for w in (WORD.findall((t or "").lower()) for t in texts)]
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = list(range(len(sets)))
+    for a, b in pairs:
+        root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    return pairs, root
+
+
 def test_similar(spark):
     """Near copies far apart in SimHash go, less similar ones stay, rows without an id are judged."""
     rng = random.Random(21)
@@ -561,15 +602,12 @@ def test_similar(spark):
             v[j] = f"z{j}"
         rows += [(i, " ".join(w), "en", "s"), (i + 1, "\n".join(v).upper(), "fr", None)]
     rows += [(None, rows[0][1], "en", "s"), (None, "alone a b", "en", "s"), (None, "alone a b", "en", "s"), (70, "x y", "en", "s"), (71, "X  Y", "en", "s"), (72, None, "en", "s"), (73, " ", "en", "s"), (74, "y x", "en", "s")]
-    sets = [frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset() for w in (WORD.findall((r[1] or "").lower()) for r in rows)]
-    pairs = [(a, b) for b in range(len(rows)) for a in range(b) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    root = list(range(len(rows)))
-    for a, b in pairs:
-        root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    pairs, root = brute_similar([r[1] for r in rows])
     want = sorted(str(rows[x][0]) for x in set(root))
     assert 5 < sum(b < 60 for _, b in pairs) < 30
     df = frame(spark, rows)
     got = similar.keep_one(df)
     assert sorted(str(r.doc_id) for r in got.collect()) == want and got.columns == df.columns
+    assert sorted(str(r.doc_id) for r in similar.keep_one(df, hot=2).collect()) == want
     assert similar.keep_one(df.limit(0)).count() == 0
     assert simhash.keep_one(df).filter("doc_id < 60").count() > sum(x != "None" and int(x) < 60 for x in want)
