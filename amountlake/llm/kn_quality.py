@@ -8,8 +8,9 @@ counts are held in shards by that hash, so no n-gram, however frequent, and no c
    and 3 or more) and how many n-grams end in each (n-1)-gram: the counts of the next lower order, made the same way.
 2. Discounts come from counts of counts, a row per order.
 3. Documents ask shards for the distinct n-grams and contexts of a block of rows and get those that were counted: a join by
-   shard.  A block's answers are one file in the shared folder.  Documents are then scored where they are read, with
-   their block's file, so texts are never shuffled.  Blocks go in ``passes`` parts, each letting go of what it shuffled.
+   shard.  Shards of the model and a block's answers are files in the shared folder, so the model is not shuffled again; documents
+   are then scored where they are read, with their block's file, so texts are never shuffled.  Shards are made, and blocks
+   asked, in parts, each letting go of what it shuffled before the next.
 
 What goes over the wire are packed arrays, not a row per n-gram.  The model never reaches the driver, and grows with the trusted text.
 
@@ -25,7 +26,9 @@ good is trusted.  A perplexity equal to the threshold is kept.  Other columns ar
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded, materialize, mix, scratch, slices, small_batches
+from .common import Words, bounded, materialize, mix, release, scratch, slices, small_batches
 from .tokenbin import _open, _save
 
 _U8 = np.uint64
@@ -108,9 +111,13 @@ def _rows(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(shard, pa.int64()), pa.array(block, pa.int64()), pa.array(data, pa.binary())], ["kind", "shard", "block", "data"])
 
 
-def _counted(words: list[np.ndarray], n: np.ndarray, bits: int) -> list[tuple[str, int, int, bytes]]:
-    """Blobs of distinct n-grams and their counts, by shard."""
-    keys, at, (n,) = _sums(key(words), n)
+def _counted(words: list[np.ndarray], n: np.ndarray, bits: int, part: int = 0, parts: int = 1) -> list[tuple[str, int, int, bytes]]:
+    """Blobs of distinct n-grams and their counts, by shard; of every ``parts``-th shard from ``part`` on."""
+    keys = key(words)
+    if parts > 1:
+        own = (keys >> _U8(64 - bits)) % _U8(parts) == _U8(part)
+        keys, words, n = keys[own], [w[own] for w in words], n[own]
+    keys, at, (n,) = _sums(keys, n)
     out = []
     for shard, a, b in _shards(keys, bits):
         own = at[a:b]
@@ -125,8 +132,8 @@ def _gathered(table: pa.Table, kind: str) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*blobs)] if blobs else [np.zeros(0, t) for t in types.split()]
 
 
-def count(texts: DataFrame, order: int, bits: int, most: int = 4_000_000) -> DataFrame:
-    """Counted n-grams of column text; a task holds ``most`` words at a time."""
+def count(texts: DataFrame, order: int, bits: int, turn: int = 0, turns: int = 1, most: int = 4_000_000) -> DataFrame:
+    """Counted n-grams of column text, of one part of the shards; a task holds ``most`` words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -136,22 +143,40 @@ def count(texts: DataFrame, order: int, bits: int, most: int = 4_000_000) -> Dat
                 size += len(held[-1][0])
                 if size >= most:
                     words = [np.concatenate(c) for c in zip(*held)]
-                    yield _rows(_counted(words, np.ones(size, np.uint64), bits))
+                    yield _rows(_counted(words, np.ones(size, np.uint64), bits, turn, turns))
                     held, size = [], 0
         if size:
             words = [np.concatenate(c) for c in zip(*held)]
-            yield _rows(_counted(words, np.ones(size, np.uint64), bits))
+            yield _rows(_counted(words, np.ones(size, np.uint64), bits, turn, turns))
 
     return texts.mapInArrow(run, _ROW)
 
 
-def _reduce(level: int, bits: int):
+def _write(uri: str, data: list[bytes]) -> None:
+    """A whole file or none, however often tasks run."""
+    folder, name = uri.rsplit("/", 1)
+    fs, base = _open(folder)
+    _save(fs, f"{base}/{name}", f"{uuid.uuid4().hex}", data)
+
+
+def _load(uri: str, kind: str) -> list[np.ndarray]:
+    """Arrays of a file; empty ones if there is none."""
+    fs, path = _open(uri)
+    try:
+        with fs.open_input_stream(path) as file:
+            return unpack(file.read(), _types(kind))
+    except FileNotFoundError:
+        return [np.zeros(0, t) for t in _types(kind).split()]
+
+
+def _reduce(level: int, bits: int, folder: str):
     def run(table: pa.Table) -> pa.Table:
         *words, n = _gathered(table, f"n{level}")
         keys, at, (n,) = _sums(key(words), n)
         words = [w[at] for w in words]
         shard = table.column("shard")[0].as_py()
-        out = [(f"a{level}", shard, -1, pack(keys, n))]
+        _write(f"{folder}/a{level}-{shard}", [pack(keys, n)])
+        out = []
         few = [(n == i).astype(np.uint64) for i in (1, 2)] + [(n >= 3).astype(np.uint64)]
         if level > 1:
             context, _, sums = _sums(key(words[:-1]), n, *few)
@@ -188,44 +213,43 @@ class Discounts:
 
 
 class Model:
-    """``table``: blobs a<level> (counts) and c<level> (total and weight of contexts) by shard."""
+    """``folder``: files a<level>-<shard> (counts) and c<level>-<shard> (total and weight of contexts)."""
 
-    def __init__(self, table: DataFrame, discounts: Discounts, bits: int) -> None:
-        self.table, self.discounts, self.bits = table, discounts, bits
+    def __init__(self, folder: str, discounts: Discounts, bits: int) -> None:
+        self.folder, self.discounts, self.bits = folder, discounts, bits
 
 
-def fit(texts: DataFrame, order: int = 2, bits: int = 4) -> Model | None:
+def fit(texts: DataFrame, order: int = 2, bits: int = 4, parts: int = 2) -> Model | None:
     """From column text of trusted documents."""
-    small_batches(texts.sparkSession)
-    level, parts, stats = count(texts, order, bits), [], {}
+    spark = texts.sparkSession
+    small_batches(spark)
+    folder, stats, shares = scratch(spark, "model"), {}, []
+    fs, base = _open(folder)
+    fs.create_dir(base, recursive=True)
+    levels = [count(texts, order, bits, part, parts) for part in range(parts)]
     for n in range(order, 0, -1):
-        done = materialize(level.groupBy("shard").applyInArrow(_reduce(n, bits), _ROW), f"order-{n}")
-        parts.append(done)
+        done = [materialize(level.groupBy("shard").applyInArrow(_reduce(n, bits, folder), _ROW), f"order-{n}") for level in levels]
+        done = reduce(DataFrame.unionByName, done)
         rows = [np.frombuffer(r[0], np.uint64) for r in done.filter(F.col("kind") == f"s{n}").select("data").collect()]  # a row per shard
         if not rows:
             return None
         stats[n] = np.sum(rows, 0)
-        level = done.filter(F.col("kind") == f"n{n - 1}")
+        shares.append(done.filter(F.col("kind") == f"x{n}"))
+        levels = [done.filter(F.col("kind") == f"n{n - 1}")]
     discounts = Discounts(order, stats)
-    table = parts[0].filter(F.col("kind").startswith("a"))
-    for part in parts[1:]:
-        table = table.unionByName(part.filter(F.col("kind").startswith("a")))
-    if order > 1:
-        share = parts[0].filter(F.col("kind").startswith("x"))
-        for part in parts[1:-1]:
-            share = share.unionByName(part.filter(F.col("kind").startswith("x")))
-
-        def contexts(rows: pa.Table) -> pa.Table:
-            out, shard = [], rows.column("shard")[0].as_py()
-            for n in range(2, order + 1):
-                keys, *values = _gathered(rows, f"x{n}")
-                keys, _, (total, *few) = _sums(keys, *values)
-                freed = sum(d * x for d, x in zip(discounts.of[n], few))
-                out.append((f"c{n}", shard, -1, pack(keys, total.astype("<f8"), np.asarray(freed / np.maximum(total, 1), "<f8"))))
-            return pa.Table.from_batches([_rows(out)])
-
-        table = table.unionByName(materialize(share.groupBy("shard").applyInArrow(contexts, _ROW), "contexts"))
-    return Model(table, discounts, bits)
+
+    def contexts(rows: pa.Table) -> pa.Table:
+        shard = rows.column("shard")[0].as_py()
+        for n in range(2, order + 1):
+            keys, *values = _gathered(rows, f"x{n}")
+            keys, _, (total, *few) = _sums(keys, *values)
+            freed = sum(d * x for d, x in zip(discounts.of[n], few))
+            _write(f"{folder}/c{n}-{shard}", [pack(keys, total.astype("<f8"), np.asarray(freed / np.maximum(total, 1), "<f8"))])
+        return pa.table({"shard": pa.array([shard], pa.int64())})
+
+    reduce(DataFrame.unionByName, shares).groupBy("shard").applyInArrow(contexts, "shard long").collect()  # writes files; a row per shard
+    release(spark)
+    return Model(folder, discounts, bits)
 
 
 def _asked(words: list[np.ndarray]) -> dict[str, np.ndarray]:
@@ -288,19 +312,25 @@ def _questions(rows: DataFrame, order: int, bits: int, most: int = 4_000_000) ->
     return rows.mapInArrow(run, _ROW)
 
 
-def _meet(model: pa.Table, asked: pa.Table) -> pa.Table:
+def _meet(folder: str):
     """What a shard knows of what each block asks."""
-    out = []
-    if model.num_rows and asked.num_rows:
-        known = {k: _gathered(model, k) for k in set(model.column("kind").to_pylist())}
+
+    def run(asked: pa.Table) -> pa.Table:
+        out, known = [], {}
+        shard = asked.column("shard")[0].as_py()
         for kind, block, data in zip(*(asked.column(c).to_pylist() for c in ("kind", "block", "data"))):
-            keys, *values = known.get(kind[1:], [np.zeros(0, t) for t in _types(kind[1:]).split()])
+            kind = kind[1:]
+            if kind not in known:
+                known[kind] = _load(f"{folder}/{kind}-{shard}", kind)
+            keys, *values = known[kind]
             wanted = unpack(data, "<u8")[0]
             at = np.searchsorted(keys, wanted)
             at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == wanted)] if len(keys) else at[:0]
             if len(at):
-                out.append((kind[1:], 0, block, pack(keys[at], *(v[at] for v in values))))
-    return pa.Table.from_batches([_rows(out)])
+                out.append((kind, 0, block, pack(keys[at], *(v[at] for v in values))))
+        return pa.Table.from_batches([_rows(out)])
+
+    return run
 
 
 def _file(base: str, block: int) -> str:
@@ -316,8 +346,7 @@ def _stored(out: str):
             by = np.unique(columns[0], return_index=True)[1]  # parts of a block that two tasks read may ask alike
             data = pack(*(c[by] for c in columns))
             body += [kind.encode().ljust(8), np.array([len(data)], "<u8").tobytes(), data]
-        fs, base = _open(out)
-        _save(fs, _file(base, block), f"{np.random.default_rng().integers(1 << 62):x}", body)
+        _write(_file(out, block), body)
         return pa.table({"block": pa.array([block], pa.int64())})
 
     return run
@@ -383,9 +412,11 @@ def perplexities(docs: DataFrame, model: Model | None, keep: list[str], passes:
         own = rows.filter(F.pmod("_block", F.lit(passes)) == turn) if model else rows
         if model:
             asked = _questions(own.select("_text", "_block"), order, model.bits)
-            met = model.table.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_meet, _ROW)
+            met = asked.groupBy("shard").applyInArrow(_meet(model.folder), _ROW)
             materialize(met.groupBy("block").applyInArrow(_stored(out), "block long"), "answered")
         one = materialize(own.mapInArrow(run, f"{kinds}, n_words long, perplexity double"), "scores")
+        if model:  # this part's answers are used up
+            fs.delete_dir_contents(base)
         scored = one if scored is None else scored.unionByName(one)
     return scored
 
