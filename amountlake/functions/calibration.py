@@ -73,9 +73,6 @@ def calibrate(raw: Column, knots: tuple[Sequence[float], Sequence[float]] | None
 def reliability(records: DataFrame) -> DataFrame:
     """tier, bin, n, precision, spurious of all, verified and unverified records in ten bins, the last closed."""
     binned = records.withColumn("bin", F.least(F.floor(F.col("raw") * 10), F.lit(9)).cast("int"))
-    binned.createOrReplaceTempView("_reliability")
-    return records.sparkSession.sql(
-        """SELECT CASE WHEN grouping(verified) = 1 THEN 'all' WHEN verified THEN 'verified' ELSE 'unverified' END AS tier, bin, count(*) AS n,
-                  avg(CAST(correct AS DOUBLE)) AS precision, avg(CAST(spurious AS DOUBLE)) AS spurious
-           FROM _reliability GROUP BY GROUPING SETS ((bin), (bin, verified))"""
-    )
+    tier = F.when(F.grouping("verified") == 1, "all").when(F.col("verified"), "verified").otherwise("unverified")
+    grouped = binned.groupingSets([("bin",), ("bin", "verified")], "bin", "verified")
+    return grouped.agg(tier.alias("tier"), F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("precision"), F.avg(F.col("spurious").cast("double")).alias("spurious")).select("tier", "bin", "n", "precision", "spurious")

@@ -10,6 +10,10 @@ import re
 from collections import Counter
 from itertools import groupby
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..functions.lexicon import RANGE_SIGNS, UNITS, lexicon
 
 Token = tuple[str, str, int, int]
@@ -244,3 +248,24 @@ def decode(text: str, bio: list[int], classes: list[str], sure: list[float] | No
         at = end
     trimmed = ((trim_boundaries(t), s) for t, s in merge_spans(text, found, classes))
     return [(t, s) for t, s in trimmed if t]
+
+
+DECODED = "array<struct<start:int,end:int,text:string,classes:array<string>>>"
+
+
+def _decoded(text: pd.Series, bio: pd.Series, classes: pd.Series) -> pd.Series:
+    def one(t: str | None, b, c) -> list[dict]:
+        if t is None or b is None or c is None or not len(t) == len(b) == len(c):
+            return []
+        found = decode(t, [int(x) for x in b], list(c))
+        return [{"start": w[0][2], "end": w[-1][3], "text": t[w[0][2] : w[-1][3]], "classes": [x[0] for x in w if x[0] != "SEP"]} for w, _ in found]
+
+    return pd.Series([one(*row) for row in zip(text, bio, classes)])
+
+
+def decode_tags(text: Column, bio: Column, classes: Column) -> Column:
+    """Spans of a text from a tag (0 outside, 1 begins, 2 goes on) and a class of each character.
+
+    Null, or arrays that are not as long as the text: no span.
+    """
+    return F.pandas_udf(_decoded, DECODED)(text, bio, classes)

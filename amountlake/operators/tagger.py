@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import deque
 from functools import lru_cache
 
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fold import evaluate, gate, verified
 from ..functions.gates import TOKEN
-from ..functions.lexicon import PACKS, PREFIXES, RANGE_SIGNS, UNITS, currency_patterns, key, lexicon
+from ..functions.lexicon import PACKS, PREFIXES, RANGE_SIGNS, UNITS, currency_patterns, key, lexicon, normalize
 
 SPAN = (
     "struct<start:int,end:int,text:string,raw_confidence:double,value:double,low:double,high:double,unit:string,currency:string,gate:string,verified:boolean,"
@@ -243,6 +244,8 @@ def annotate(span: list[Token]) -> list[dict]:
 
 
 REACH = 64
+#: so many words without a number part amounts
+APART = 6
 
 
 @lru_cache(maxsize=1 << 17)
@@ -252,30 +255,48 @@ def _may_count(word: str) -> bool:
 
 
 def _stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a long text around digits and number words, cut where nothing near can belong to an amount."""
+    """Parts around digits and number words, cut where ``APART`` words in a row count nothing: no amount reaches over them.
+
+    Blanks and marks between words don't matter, however many there are.
+    """
     out: list[list[int]] = []
+    before: deque[int] = deque(maxlen=APART)
+    left = 0
     for run in _RUN.finditer(text):
         first = run.group()[0]
-        if first.isspace() or not (first.isdigit() or (is_word(first) and _may_count(run.group()))):
+        if first.isspace():
             continue
-        a, b = max(0, run.start() - REACH), run.end() + REACH
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
+        word = is_word(first)
+        if first.isdigit() or (word and _may_count(run.group())):
+            if not left:
+                start = before[0] if len(before) == APART else 0
+                if out and start <= out[-1][1]:
+                    out[-1][1] = len(text)
+                else:
+                    out.append([start, len(text)])
+            left = APART
+        elif word:
+            before.append(run.start())
+            if left:
+                left -= 1
+                if not left:
+                    out[-1][1] = run.end()
     for part in out:
         while part[0] > 0 and not text[part[0] - 1].isspace():
             part[0] -= 1
         while part[1] < len(text) and not text[part[1]].isspace():
             part[1] += 1
-    return [(a, min(b, len(text))) for a, b in out]
+    joined: list[tuple[int, int]] = []
+    for a, b in out:
+        joined = [*joined[:-1], (joined[-1][0], b)] if joined and a <= joined[-1][1] else [*joined, (a, b)]
+    return joined
 
 
 def propose(text: str | None) -> list[dict]:
     if not text:
         return []
     out = []
-    for a, b in _stretches(text) if len(text) > 4 * REACH else [(0, len(text))]:
+    for a, b in _stretches(text):
         for span in spans_of(text[a:b]):
             span = [(c, t, x + a, y + a) for c, t, x, y in span]
             if not _counted(span, text):
@@ -283,6 +304,32 @@ def propose(text: str | None) -> list[dict]:
     return out
 
 
+def amounts(text: str | None) -> list[dict]:
+    """The spans of a text as it is written that no gate drops, as amounts; confidence is the raw one."""
+    return _kept(text) if text is not None and len(text) <= 64 else _amounts(text)
+
+
+def _amounts(text: str | None) -> list[dict]:
+    if not text:
+        return []
+    normal = normalize(text)
+    out = []
+    for s in propose(normal):
+        if s["gate"] is None:
+            tokens = [{"cls": t["cls"], "text": t["text"]} for t in s["tokens"]]
+            out.append(
+                {
+                    "span": text[s["start"] : s["end"]] if len(text) == len(normal) else s["text"], "start": s["start"], "end": s["end"], "value": s["value"], "range_low": s["low"], "range_high": s["high"],
+                    "unit": s["unit"], "currency": s["currency"], "confidence": s["raw_confidence"], "raw_confidence": s["raw_confidence"], "verified": s["verified"],
+                    "classes": [t["cls"] for t in tokens if t["cls"] != "SEP"], "tokens": tokens,
+                }
+            )
+    return out
+
+
+_kept = lru_cache(maxsize=1 << 15)(_amounts)  # short texts repeat in columns; results don't depend on it
+
+
 def finish(span: list[Token], text: str) -> dict:
     """A span with its value, gate, currency and verification."""
     tokens = annotate(span)

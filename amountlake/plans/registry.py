@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from . import tags
 from .amounts import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "q_grouped_rupees"
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "tags"]

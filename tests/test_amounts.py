@@ -127,11 +127,38 @@ def test_parse_odd_input(spark):
 
 
 def test_sql_function(spark):
+    """SQL and parse_df agree, gates included; the plan has one Arrow pass."""
     register(spark)
-    assert spark.sql("SELECT text FROM parse_amounts('kul 5 lakh aur 20k')").count() == 2
+    lines = [(i, t) for i, t in enumerate([*[x[0] for x in PARSED], "9876543210 par", "kharab hai", None, "", "KUL 5 LAKH aur 20k", "İ 5 lakh"])]
+    df = spark.createDataFrame(lines, "i int, text string")
+    got = spark.sql("SELECT i, a.* FROM {df} LATERAL VIEW inline(parse_amounts(text)) a", df=df).collect()
+    want = parse_df(df).select("i", "amounts").collect()
+    assert [(r.i, r.span, r.start, r.end, r.value, r.currency, r.confidence, r.verified) for r in got] == [(r.i, a.span, a.start, a.end, a.value, a.currency, a.confidence, a.verified) for r in want for a in r.amounts]
+    assert len(got) == len(PARSED) + 3
+    assert spark.sql("SELECT normalize_amount_text('२५ LAKH') AS t").first().t == "25 lakh"
+    assert [x.gate is None for x in spark.sql("SELECT propose_amounts('9876543210 par 5 lakh') AS s").first().s] == [False, True]
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(parse_df(df)._jdf.queryExecution(), "simple")
+    assert plan.count("ArrowEvalPython") == 1
     assert model_info()["classes"] == 120
 
 
+def test_cuts_change_nothing():
+    """A text is cut only where no amount reaches: random texts give what they give uncut, wherever and however long."""
+    import random
+
+    from amountlake.operators import tagger
+
+    rng = random.Random(5)
+    stock = "5 20 1,000 lakh k crore sava dedh se ya - to aur Rs ₹ . , ( hazaar do teen bla usne diye ghar pin 400001 phone 98765 43210 saal ke baad quarter".split()
+    for _ in range(400):
+        text = "".join(rng.choice(stock) + " " * rng.choice((1, 1, 1, 2, 70)) for _ in range(rng.randrange(1, 40)))
+        text = text + "bla " * rng.choice((0, 0, 5, 6, 7, 80)) + text
+        uncut = [tagger.finish(s, text) for s in tagger.spans_of(text) if not tagger._counted(s, text)]
+        assert propose(text) == uncut, text
+    gap = "5" + " " * 70 + "-" + " " * 70 + "10 lakh"
+    assert [s["low"] for s in propose(gap)] == [s["low"] for s in propose(gap + " zzz" * 240)]
+
+
 def test_long_text_is_as_its_parts():
     parts = ["usne 5 lakh diye", "aur phir 20k baad", "sava crore"]
     text = (" bla" * 200 + " ").join(parts)
