@@ -119,13 +119,14 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_k": k, "_t": F.lit(0).cast("long") if every == different else t})
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that the bytes of one column stay near ``most``."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that the bytes of one column stay near ``most``; what work on it took goes back to the system."""
     at = lengths(batch.column(column)).cumsum() // most
     cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def lengths(column: pa.Array) -> np.ndarray:

@@ -219,7 +219,7 @@ class Model:
         self.folder, self.discounts, self.bits = folder, discounts, bits
 
 
-def fit(texts: DataFrame, order: int = 2, bits: int = 4, parts: int = 2) -> Model | None:
+def fit(texts: DataFrame, order: int = 2, bits: int = 4, parts: int = 4) -> Model | None:
     """From column text of trusted documents."""
     spark = texts.sparkSession
     small_batches(spark)

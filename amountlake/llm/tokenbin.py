@@ -11,7 +11,7 @@ A task writes its shard under a name of its own and renames it; one that runs ag
 
 Encoding is the tokenizer library's.  For the tokenizer whose pre-tokenizer cuts letters, single digits
 and symbols apart, each distinct piece is encoded by the library's model once per worker and remembered
-(``memory`` pieces at most); texts with characters that are or lower to ones beyond U+024F, control
+(up to twice ``memory`` pieces; when there are more, those not met lately go); texts with characters that are or lower to ones beyond U+024F, control
 separators or special token marks go through the library whole.
 
 Defined results: a null or empty text is the end id alone.  Repeated doc_ids are in order of their texts'
@@ -68,7 +68,7 @@ _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_range('L')}]+|[{_range('N')}]
 class Encoder:
     """Texts to serialized ids (little-endian, 2 bytes where the vocabulary allows)."""
 
-    def __init__(self, path: str, memory: int = 1_000_000) -> None:
+    def __init__(self, path: str, memory: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -76,15 +76,18 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
         self.known = all(made.get(k) == v for k, v in _PLAIN.items())
-        self.memory, self.cache = memory, {}
+        self.memory, self.cache, self.old = memory, {}, {}
 
     def _learn(self, pieces: set[str]) -> None:
         if len(self.cache) + len(pieces) > self.memory:
-            self.cache.clear()
-        tokenize, kind = self.library.model.tokenize, self.kind
+            self.cache, self.old = {}, self.cache
+        tokenize, kind, old = self.library.model.tokenize, self.kind, self.old
         for piece in pieces:
-            word = "".join(map(_AS_CHAR.__getitem__, piece.encode()))
-            self.cache[piece] = np.array([t.id for t in tokenize(word)], kind).tobytes()
+            known = old.get(piece)
+            if known is None:
+                word = "".join(map(_AS_CHAR.__getitem__, piece.encode()))
+                known = np.array([t.id for t in tokenize(word)], kind).tobytes()
+            self.cache[piece] = known
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
