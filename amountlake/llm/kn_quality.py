@@ -38,7 +38,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded, materialize, mix, release, scratch, slices, small_batches
+from .common import Words, bounded, made, materialize, mix, release, scratch, slices, small_batches, sweep
 from .tokenbin import _open, _save
 
 _U8 = np.uint64
@@ -226,7 +226,7 @@ def fit(texts: DataFrame, order: int = 2, bits: int = 4, parts: int = 4) -> Mode
     folder, stats, shares = scratch(spark, "model"), {}, []
     fs, base = _open(folder)
     fs.create_dir(base, recursive=True)
-    levels = [count(texts, order, bits, part, parts) for part in range(parts)]
+    levels, known = [count(texts, order, bits, part, parts) for part in range(parts)], set(made())
     for n in range(order, 0, -1):
         done = [materialize(level.groupBy("shard").applyInArrow(_reduce(n, bits, folder), _ROW), f"order-{n}") for level in levels]
         done = reduce(DataFrame.unionByName, done)
@@ -248,6 +248,8 @@ def fit(texts: DataFrame, order: int = 2, bits: int = 4, parts: int = 4) -> Mode
         return pa.table({"shard": pa.array([shard], pa.int64())})
 
     reduce(DataFrame.unionByName, shares).groupBy("shard").applyInArrow(contexts, "shard long").collect()  # writes files; a row per shard
+    del done, levels, shares
+    sweep(spark, [path for path in made() if path not in known])  # all is in the folder now
     release(spark)
     return Model(folder, discounts, bits)
 
@@ -382,7 +384,7 @@ def _blocked(docs: DataFrame, keep: list[str], size: int = 24 << 20) -> DataFram
     return docs.select(*keep, text.alias("_text"), block.alias("_block"))
 
 
-def perplexities(docs: DataFrame, model: Model | None, keep: list[str], passes: int = 4) -> DataFrame:
+def perplexities(docs: DataFrame, model: Model | None, keep: list[str], passes: int = 8) -> DataFrame:
     """The columns ``keep`` with n_words and perplexity."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -421,7 +423,7 @@ def perplexities(docs: DataFrame, model: Model | None, keep: list[str], passes:
     return scored
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = 2, quantile: float = 0.99, least: int = 30, passes: int = 4, per_shard: int = 48 << 20) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, order: int = 2, quantile: float = 0.99, least: int = 30, passes: int = 8, per_shard: int = 48 << 20) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, keep."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_good")).distinct()
     good = materialize(good, "good")
