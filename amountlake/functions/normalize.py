@@ -1,7 +1,7 @@
 """Text normalization as column expressions.
 
-NFC has no built-in function: it is an Arrow UDF behind a test for characters that it may change, which
-ASCII text never reaches.  Offsets count code points of the normalized text.
+NFC has no built-in function: it is an Arrow UDF, whose result is taken where a test finds characters that it may change.
+Parsing normalizes inside its own Arrow pass instead.  Offsets count code points of the normalized text.
 """
 
 from __future__ import annotations
