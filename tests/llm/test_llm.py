@@ -7,10 +7,12 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from amountlake.llm import ann, chat, decontam, kn_quality, langid, mixing, simhash, similar, substring_dedup, suffix_dedup, tokenbin
+from amountlake.llm.common import mix
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -611,3 +613,27 @@ def test_similar(spark):
     assert sorted(str(r.doc_id) for r in similar.keep_one(df, hot=2).collect()) == want
     assert similar.keep_one(df.limit(0)).count() == 0
     assert simhash.keep_one(df).filter("doc_id < 60").count() > sum(x != "None" and int(x) < 60 for x in want)
+
+
+def test_similar_by_simhash(spark):
+    """Fingerprints are SimHash's majority bits, and pairs at 0.8 meet through them, long sets and short ones."""
+    rng = random.Random(14)
+    rows, ways = [], ((6, 1), (9, 1), (14, 1), (24, 2), (60, 1), (300, 6), (2500, 50))
+    for n, cuts in ways:
+        for _ in range(12):
+            w = words(rng, n, 10**6)
+            other = list(w)
+            for i in rng.sample(range(n), cuts):
+                other[i] = "other"
+            rows += [(len(rows), " ".join(w), "en", "s"), (len(rows) + 1, " ".join(w[: max(5, n - n // 6)]), "en", "s"), (len(rows) + 2, " ".join(other), "en", "s")]
+    df = frame(spark, rows)
+    found = similar._signatures(similar._keyed(df), 5, 0.8).collect()
+    assert len(found) == len(rows)
+    for r in found[::7]:
+        (h,) = similar._sets(pa.array([rows[r._k][1]]), 5)
+        for i, step in enumerate(similar._STREAM):
+            bits = [[int(x) >> (8 * (b // 8) + 7 - b % 8) & 1 for b in range(64)] for x in mix(h + step)]
+            assert list(np.unpackbits(np.frombuffer(r.bytes, np.uint8))[64 * i : 64 * i + 64]) == [2 * sum(b) > len(h) for b in zip(*bits)]
+    pairs, root = brute_similar([r[1] for r in rows])
+    assert len(pairs) > 60
+    assert sorted(r.doc_id for r in similar.keep_one(df).collect()) == sorted(set(root))
