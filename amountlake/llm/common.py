@@ -9,8 +9,10 @@ go as soon as their result is written.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -27,6 +29,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U = np.uint64
+#: glibc's, which gives freed pages back to the system; None elsewhere
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,6 +83,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settle(spark: SparkSession) -> None:
+    """Let executors collect garbage and give freed heap back; else what one stage took stays theirs while the next one's workers grow."""
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Bound what one Arrow batch of long texts holds; make sure that workers can import the package."""
     ship(spark)
@@ -127,6 +137,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         if b > a:
             yield batch.slice(a, b - a)
     pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def lengths(column: pa.Array) -> np.ndarray:

@@ -11,7 +11,7 @@ from test_llm import brute_similar, frame  # noqa: E402
 from test_queries import DATA, check  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from amountlake.llm.common import materialize  # noqa: E402
+from amountlake.llm.common import materialize, settle  # noqa: E402
 from amountlake.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -68,3 +68,12 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         ids = [r.doc_id for r in got]
         assert not {1000, 1001, 1002, 1003} & set(ids) and (None in ids) is False and (len(ids) > 20) == (case == "odd")
         assert sum(r.n_tokens for r in got) == max((r.start + r.n_tokens for r in got), default=0)
+
+
+def test_stages_begin_with_heap_given_back(spark, monkeypatch):
+    """What one stage took of an executor's memory is not added to by the next."""
+    said = []
+    monkeypatch.setattr(corpus_pipeline, "settle", lambda session: said.append(session) or settle(session))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(50)
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:3:2], 1):
+        assert stage(spark, docs, str(DATA)).count() > 0 and len(said) == n
