@@ -184,7 +184,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 _BASE, _STRIDE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-_STRIDE_INV = pow(_STRIDE, -1, 1 << 64)
+_BASE_INV, _STRIDE_INV = (pow(x, -1, 1 << 64) for x in (_BASE, _STRIDE))
 
 
 class Words:
@@ -210,11 +210,10 @@ class Words:
     def hashes(self) -> np.ndarray:
         if not self.n:
             return np.zeros(0, np.uint64)
-        size = self.end - self.start
-        inside = np.arange(size.sum()) - np.repeat(size.cumsum() - size, size)
-        values = _TABLE[self.data[np.repeat(self.start, size) + inside]] * powers(_BASE, int(size.max()))[inside]
-        return mix(np.add.reduceat(values, size.cumsum() - size) + size.astype(np.uint64))
-
+        size, n = self.end - self.start, len(self.data)
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(_TABLE[self.data] * powers(_BASE, n), out=prefix[1:])
+        return mix((prefix[self.end] - prefix[self.start]) * powers(_BASE_INV, n)[self.start] + size.astype(np.uint64))
 
 
 def grams(words: np.ndarray, k: int, salt: int = 1) -> np.ndarray:

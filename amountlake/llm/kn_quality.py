@@ -94,12 +94,18 @@ def columns(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
 
 def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(distinct keys, a place of each, sums of values)."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # not a stable sort: that takes three times as long, and no result depends on the order of equal keys
     found = keys[order]
     heads = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.zeros(0, np.int64)
     return found[heads], order[heads], [np.add.reduceat(v[order], heads) if len(heads) else v[:0] for v in values]
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """What np.unique gives; its hash table takes many times as long as a sort."""
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
 def _shards(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(shard, from, to) of ascending keys."""
     edge = np.searchsorted(keys >> _U8(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -121,7 +127,7 @@ def _counted(words: list[np.ndarray], n: np.ndarray, bits: int, part: int = 0, p
     out = []
     for shard, a, b in _shards(keys, bits):
         own = at[a:b]
-        by = np.argsort(words[0][own], kind="stable")  # the first word repeats, so its differences are small
+        by = np.argsort(words[0][own])  # the first word repeats, so its differences are small
         out.append((f"n{len(words)}", shard, -1, pack(*(w[own[by]] for w in words), n[a:b][by])))
     return out
 
@@ -265,7 +271,9 @@ def _find(keys: np.ndarray, known: np.ndarray, *values: np.ndarray) -> list[np.n
     """Values of each key, 0 where it isn't known."""
     if not len(known):
         return [np.zeros(len(keys), v.dtype) for v in values]
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    order, at = np.argsort(keys), np.empty(len(keys), np.int64)
+    at[order] = np.searchsorted(known, keys[order])  # in ascending order the search stays where it is
+    at = np.minimum(at, len(known) - 1)
     hit = known[at] == keys
     return [np.where(hit, v[at], v.dtype.type(0)) for v in values]
 
@@ -291,7 +299,7 @@ def _questions(rows: DataFrame, order: int, bits: int, most: int = 4_000_000) ->
     def ask(block: int, held: list) -> pa.RecordBatch:
         out = []
         for kind, keys in _asked([np.concatenate(c) for c in zip(*held)]).items():
-            keys = np.unique(keys)
+            keys = _distinct(keys)
             out += [(f"q{kind}", s, block, pack(keys[a:b])) for s, a, b in _shards(keys, bits)]
         return _rows(out)
 

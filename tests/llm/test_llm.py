@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from amountlake.llm import ann, chat, decontam, kn_quality, langid, mixing, simhash, similar, substring_dedup, suffix_dedup, tokenbin
+from amountlake.llm import ann, chat, common, decontam, kn_quality, langid, mixing, simhash, similar, substring_dedup, suffix_dedup, tokenbin
 from amountlake.llm.common import mix
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -637,3 +637,20 @@ def test_similar_by_simhash(spark):
     pairs, root = brute_similar([r[1] for r in rows])
     assert len(pairs) > 60
     assert sorted(r.doc_id for r in similar.keep_one(df).collect()) == sorted(set(root))
+
+
+def test_kneser_ney_sorts_and_finds():
+    """Questions and lookups by quick sorts, and word hashes from prefix sums, are what plain loops give."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5000):
+        keys = rng.integers(0, 900, n, dtype=np.uint64) << np.uint64(55)
+        assert kn_quality._distinct(keys).tolist() == sorted(set(keys.tolist()))
+        known = {k: i for i, k in enumerate(sorted(set(keys.tolist()))[::2])}
+        (got,) = kn_quality._find(keys, np.array(list(known), np.uint64), np.arange(len(known)) + 1)
+        assert got.tolist() == [known[k] + 1 if k in known else 0 for k in keys.tolist()]
+    texts = pa.array([None, "", " one  two\tthrée", "x" * 3000, "a\n", " "])
+    want = []
+    for t in ("one", "two", "thrée", "x" * 3000, "a"):
+        total = sum(int(common._TABLE[b]) * pow(common._BASE, i, 1 << 64) for i, b in enumerate(t.encode()))
+        want.append(int(mix(np.array([(total + len(t.encode())) % (1 << 64)], np.uint64))[0]))
+    assert common.Words(texts).hashes().tolist() == want
