@@ -11,7 +11,8 @@ A task writes its shard under a name of its own and renames it; one that runs ag
 
 Encoding is the tokenizer library's.  For the tokenizer whose pre-tokenizer cuts letters, single digits
 and symbols apart, each distinct piece is encoded by the library's model once per worker and remembered
-(up to twice ``memory`` pieces; when there are more, those not met lately go); texts with characters that are or lower to ones beyond U+024F, control
+(up to twice ``memory`` pieces and those of a slice; when there are more, those not met lately go), and pieces of Latin-1 texts without
+apostrophes are cut and told apart in arrays, exactly, before the memory is asked; texts with characters that are or lower to ones beyond U+024F, control
 separators or special token marks go through the library whole.
 
 Defined results: a null or empty text is the end id alone.  Repeated doc_ids are in order of their texts'
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, scratch, slices, small_batches, with_keys
+from .common import mix, release, scratch, slices, small_batches, with_keys
 
 MAGIC = b"ALIDS001"
 _PLAIN = {
@@ -65,6 +66,37 @@ def _range(kind: str) -> str:
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_range('L')}]+|[{_range('N')}]|[^\t-\r \x85\xa0{_range('L')}{_range('N')}]+")
 
 
+#: Of each byte of Latin-1 text: 0 white space, 1 letter, 2 number, 3 symbol.
+_CLASS = np.array([0 if chr(i) in "\t\n\x0b\x0c\r \x85\xa0" else {"L": 1, "N": 2}.get(unicodedata.category(chr(i))[0], 3) for i in range(256)], np.uint8)
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_WHOLE, _BY_PATTERN, _BY_BYTE = range(3)
+
+
+def _way(text: str) -> int:
+    """How a text is cut: not at all, by the pattern, or as Latin-1 bytes, where no piece but a run of one class occurs."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WHOLE if _SLOW.search(text) else _BY_PATTERN
+    if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return _WHOLE
+    return _BY_PATTERN if "'" in text or "\0" in text else _BY_BYTE
+
+
+class _Pieces(dict):
+    """Serialized ids by piece; what is not there is taken from ``old`` or encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes], old: dict[str, bytes]) -> None:
+        self.encode, self.old = encode, old
+
+    def __missing__(self, piece: str) -> bytes:
+        known = self.old.get(piece)
+        if known is None:
+            known = self.encode(piece)
+        self[piece] = known
+        return known
+
+
 class Encoder:
     """Texts to serialized ids (little-endian, 2 bytes where the vocabulary allows)."""
 
@@ -76,38 +108,56 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
         self.known = all(made.get(k) == v for k, v in _PLAIN.items())
-        self.memory, self.cache, self.old = memory, {}, {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.cache) + len(pieces) > self.memory:
-            self.cache, self.old = {}, self.cache
-        tokenize, kind, old = self.library.model.tokenize, self.kind, self.old
-        for piece in pieces:
-            known = old.get(piece)
-            if known is None:
-                word = "".join(map(_AS_CHAR.__getitem__, piece.encode()))
-                known = np.array([t.id for t in tokenize(word)], kind).tobytes()
-            self.cache[piece] = known
+        most = max(self.library.get_vocab().values(), default=0)
+        self.codes = [i.tobytes() for i in np.arange(most + 1).astype(self.kind)]
+        self.memory, self.cache = memory, _Pieces(self._piece, {})
+
+    def _piece(self, piece: str) -> bytes:
+        word = piece if piece.isascii() and piece.isprintable() else "".join(map(_AS_CHAR.__getitem__, piece.encode()))
+        codes = self.codes
+        return b"".join([codes[t.id] for t in self.library.model.tokenize(word)])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _by_byte(self, texts: list[str]) -> list[bytes]:
+        """All pieces of all texts are found and told apart in arrays; the memory is asked once for each."""
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        line = "\n".join(texts).lower()
+        data = np.frombuffer(line.encode("latin-1") + bytes(17), np.uint8)
+        kind = np.r_[np.uint8(0), _CLASS[data[: len(line)]], np.uint8(0)]
+        turn = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        start = np.flatnonzero(turn[:-1] & (kind[1:-1] > 0))
+        if not len(start):
+            return [b""] * len(texts)
+        size = np.flatnonzero((turn[1:] | (kind[1:-1] == 2)) & (kind[1:-1] > 0)) + 1 - start
+        eight = np.lib.stride_tricks.as_strided(data.view(np.uint8)[:8].view("<u8"), (len(line) + 9,), (1,))
+        low, high = eight[start] & _KEEP[np.minimum(size, 8)], eight[np.minimum(start + 8, len(line))] & _KEEP[np.clip(size - 8, 0, 8)]
+        long = np.flatnonzero(size > 16)
+        high[long] = long.astype(np.uint64) << np.uint64(32)  # each on its own
+        low[long] = 0
+        order = np.argsort(mix(low + high * np.uint64(0x9E3779B97F4A7C15)))
+        other = np.r_[True, (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])]
+        heads = order[other]
+        known = list(map(self.cache.__getitem__, [line[a:b] for a, b in zip(start[heads].tolist(), (start + size)[heads].tolist())]))
+        width = np.dtype(self.kind).itemsize
+        n = np.fromiter(map(len, known), np.int64, len(known)) // width
+        piece = np.empty(len(start), np.int64)
+        piece[order] = np.cumsum(other) - 1
+        many = n[piece]
+        upto = np.r_[0, many.cumsum()]
+        ids = np.frombuffer(b"".join(known), self.kind)[np.repeat((n.cumsum() - n)[piece] - upto[:-1], many) + np.arange(upto[-1])].tobytes()
+        at = (width * upto[np.r_[0, np.searchsorted(start, ends)]]).tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_PIECES.findall(t.lower()) if self.known and not _SLOW.search(t) else None for t in texts]
-        new = set().union(*(c for c in cut if c is not None)).difference(self.cache)
-        if new:
-            self._learn(new)
-        out = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(self.whole(text))
-                continue
-            try:
-                out.append(b"".join(map(self.cache.__getitem__, pieces)))
-            except KeyError:  # the memory was cleared for the new pieces
-                self._learn(set(pieces).difference(self.cache))
-                out.append(b"".join(map(self.cache.__getitem__, pieces)))
-        return out
+        if len(self.cache) > self.memory:
+            self.cache = _Pieces(self._piece, dict(self.cache))
+        ways = [_way(t) if self.known else _WHOLE for t in texts]
+        easy = [t for t, way in zip(texts, ways) if way == _BY_BYTE]
+        done = iter(self._by_byte(easy) if easy else ())
+        cut = lambda t: b"".join(map(self.cache.__getitem__, _PIECES.findall(t.lower())))
+        return [next(done) if way == _BY_BYTE else cut(t) if way == _BY_PATTERN else self.whole(t) for t, way in zip(texts, ways)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -654,3 +654,19 @@ def test_kneser_ney_sorts_and_finds():
         total = sum(int(common._TABLE[b]) * pow(common._BASE, i, 1 << 64) for i, b in enumerate(t.encode()))
         want.append(int(mix(np.array([(total + len(t.encode())) % (1 << 64)], np.uint64))[0]))
     assert common.Words(texts).hashes().tolist() == want
+
+
+def test_pieces_of_latin_texts():
+    """Latin-1 texts, cut in arrays, have the library's ids: pieces of over 16 bytes, of one class beside another, and every character."""
+    rng = random.Random(8)
+    texts = ["", " ", "a" * 17, f"{'a' * 16} {'a' * 18} {'b' * 8}{'c' * 9} {'b' * 8}{'c' * 10}", "=" * 40, "12345678901234567890", "x²½y", "a\x85b\xa0c"]
+    texts += ["".join(rng.choice("abZé ñÀ12½²=+-\n\t\x7f\x05ÿß") for _ in range(rng.randrange(80))) for _ in range(300)]
+    texts += [chr(i) * 2 + "a" + chr(i) for i in range(256)]
+    own = tokenbin.Encoder(path(), memory=40)
+    assert sum(tokenbin._way(t) == tokenbin._BY_BYTE for t in texts) > 500
+    want = [own.whole(t) for t in texts]
+    assert own.encode(texts) == want and [x for t in texts for x in own.encode([t])] == want
+    asked = []
+    own.cache = tokenbin._Pieces(lambda piece: asked.append(piece) or own._piece(piece), {})
+    own.encode(["one two one"] * 50)
+    assert sorted(asked) == ["one", "two"]
