@@ -49,13 +49,26 @@ def windows(text: Column, size: int = 128, overlap: int = 16) -> Column:
 
 
 def stitch(chars, keys: list[str], position: str = "pos", offset: str = "offset"):
-    """Of rows that name the same character, the one from the first window."""
+    """Of rows that name the same character, the one from the first window: a sort of all characters; for windows that are still in an array see ``stitched``."""
     from pyspark.sql.window import Window
 
     order = Window.partitionBy(*keys, position).orderBy(offset)
     return chars.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+def stitched(cut: Column) -> Column:
+    """The text of an array of windows as ``windows`` makes them, each character from the first window that has it: row by row, nothing is sorted."""
+
+    def own(all_: Column, w: Column, i: Column) -> Column:
+        before = F.get(all_, i - 1)
+        seen = F.coalesce(before["offset"] + F.length(before["text"]) - w["offset"], F.lit(0))
+        return F.substring(w["text"], F.greatest(seen, F.lit(0)) + 1, F.length(w["text"]))
+
+    # the array is bound to a name, as it would be made again for each window
+    known = lambda all_: F.get(all_, F.lit(0))["text"].isNotNull()  # noqa: E731  (a null text has one window, without text)
+    return F.get(F.transform(F.array(cut), lambda all_: F.when(known(all_), F.array_join(F.transform(all_, lambda w, i: own(all_, w, i)), ""))), F.lit(0))
+
+
 def indian_grouping(number: Column) -> Column:
     """12,34,567 from an integer."""
     return F.regexp_replace(number.cast("decimal(38,0)").cast("string"), r"(\d)(?=(\d\d)*\d{3}$)", "$1,")

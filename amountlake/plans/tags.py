@@ -155,11 +155,8 @@ def q_source_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, c_name || ' | ' || c_custkey AS text FROM customer")
 def q_stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of overlapping windows, the first window's of each, put together again."""
-    texts = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" | ", "c_name", whole(F.col("c_custkey"))).alias("text"))
-    cut = texts.select("c_custkey", F.inline(normalize.windows(F.col("text"), 8, 3)))
-    chars = cut.select("c_custkey", "offset", F.posexplode(F.split("text", "")).alias("at", "char")).filter("char <> ''").withColumn("pos", F.col("offset") + F.col("at"))
-    one = normalize.stitch(chars, ["c_custkey"])
-    return one.groupBy("c_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "char"))), lambda x: x.char), "").alias("text"))
+    text = F.concat("c_name", F.lit(" | "), whole(F.col("c_custkey")))
+    return table(spark, sf_dir, "customer").select("c_custkey", normalize.stitched(normalize.windows(text, 8, 3)).alias("text"))
 
 
 @query("SELECT p_partkey, (10 + p_partkey % 90) * 1e5 AS value, p_partkey % 2 = 0 AS verified FROM part")

@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from amountlake.functions import normalize
 from amountlake.operators import corpus
 from amountlake.plans.registry import ORACLE_SQL, QUERIES
 
@@ -28,3 +30,25 @@ def test_claims_off_by_rupees():
     assert line("7200 crore", 72_000_000_001.0) == "value_mismatch" and line("7200 crore", 7200 * 1e7) is None
     assert line("2.3456789 crore", 23456789.0) is None and line("1234567890.55", 1234567890.55) is None  # evaluation rounds to whole rupees here
     assert line("0.1 lakh", 0.1 * 1e5) is None and line("350.9 kharab", 350.9 * 1e11) is None
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stitched_without_sorts(spark, tmp_path):
+    names = "CASE WHEN i % 7 = 0 THEN NULL WHEN i % 7 = 1 THEN '' WHEN i % 7 = 2 THEN repeat('é😀क़', 40) ELSE 'Customer#' || i END"
+    _check(spark, "q_stitched", tmp_path, "customer", f"SELECT i AS c_custkey, {names} AS c_name FROM range(5399900, 5400000) r(i)")
+    plan = _plan(QUERIES["q_stitched"](spark, str(tmp_path)))
+    assert "Exchange" not in plan and "Sort" not in plan  # memory of a task is that of a row
+
+
+@pytest.mark.parametrize("size, overlap", [(8, 3), (8, 7), (5, 0), (128, 16)])
+def test_stitched_is_stitch(spark, size, overlap):
+    """Arrays of windows and sorted characters give the same texts."""
+    df = spark.createDataFrame([(n, "".join(chr(0x900 + (n * i) % 97) if i % 3 else "x" for i in range(n))) for n in (1, 4, 5, 7, 8, 9, 12, 13, 14, 127, 128, 129, 240, 241, 500)], "k int, text string")
+    cut = df.select("k", normalize.windows(F.col("text"), size, overlap).alias("w"))
+    chars = cut.select("k", F.inline("w")).select("k", "offset", F.posexplode(F.split("text", "")).alias("at", "char")).filter("char <> ''").withColumn("pos", F.col("offset") + F.col("at"))
+    rows = normalize.stitch(chars, ["k"]).groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "char"))), lambda x: x.char), "").alias("text"))
+    want = {r.k: r.text for r in df.collect()}
+    assert {r.k: r.text for r in cut.select("k", normalize.stitched(F.col("w")).alias("text")).collect()} == want == {r.k: r.text for r in rows.collect()}
