@@ -35,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Narrow rows over all cores, before a pass in Python that costs far more than moving them: a file of few row groups would be few tasks, of any size."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def pick(index: Column, *words: str) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), (index + 1).cast("int"))
 

@@ -16,7 +16,7 @@ from ..operators.decode import decode_tags
 from ..operators.parse import explode_amounts, parse_df
 from ..runtime import ship
 from ..sources import files
-from .amounts import pick, query, table, whole
+from .amounts import pick, query, spread, table, whole
 
 Piece = tuple[Column, str, str]
 _UNIT = ("UNIT_HAZAAR", "UNIT_LAKH", "UNIT_CRORE")
@@ -50,7 +50,7 @@ def spans(spark: SparkSession, sf_dir: str, *pieces: Piece) -> DataFrame:
     text = F.concat(*[p[0] for p in pieces])
     bio = F.concat(*[_tags(p[0], p[2]) for p in pieces])
     classes = F.concat(*[F.array_repeat(_class(p[1]), F.length(p[0])) for p in pieces])
-    found = table(spark, sf_dir, "part").select("p_partkey", decode_tags(text, bio, classes).alias("found"))
+    found = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", decode_tags(text, bio, classes).alias("found"))
     first = F.get("found", F.lit(0))
     return found.select("p_partkey", F.size("found").cast("long").alias("n"), first["start"].cast("long").alias("first"), first["end"].cast("long").alias("last"), F.array_join(first["classes"], " ").alias("classes"))
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from amountlake.functions import normalize
-from amountlake.operators import corpus
+from amountlake.operators import corpus, decode
 from amountlake.plans.registry import ORACLE_SQL, QUERIES
 
 
@@ -52,3 +52,34 @@ def test_stitched_is_stitch(spark, size, overlap):
     rows = normalize.stitch(chars, ["k"]).groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "char"))), lambda x: x.char), "").alias("text"))
     want = {r.k: r.text for r in df.collect()}
     assert {r.k: r.text for r in cut.select("k", normalize.stitched(F.col("w")).alias("text")).collect()} == want == {r.k: r.text for r in rows.collect()}
+
+
+@pytest.mark.parametrize("name", ["q_decode_range"])
+def test_decode_queries_on_all_cores(spark, tmp_path, name):
+    """A file of one row group is not one task's work."""
+    _check(spark, name, tmp_path, "part", "SELECT i AS p_partkey FROM range(7199900, 7200900) r(i)")
+    sizes = QUERIES[name](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < 500
+
+
+def test_words_of_a_text_are_found_once(spark, monkeypatch):
+    """Characters looked at grow with the text, not with the text times its spans."""
+    seen = []
+    kept = decode.runs
+    monkeypatch.setattr(decode, "runs", lambda text, start=0, end=None: seen.append(len(text[start:end])) or kept(text, start, end))
+    text = "kul 12 lakh " * 300
+    classes = (["O"] * 4 + ["DIGITS"] * 2 + ["SEP"] + ["UNIT_LAKH"] * 4 + ["O"]) * 300
+    found = decode.decode(text, ([0] * 4 + [1] + [2] * 6 + [0]) * 300, classes)
+    assert len(found) == 300 and sum(seen) < 10 * len(text)
+
+
+def test_remembered_spans_are_the_same():
+    import numpy as np
+    import pandas as pd
+
+    text, bio = "5 lakh", [1, 2, 2, 2, 2, 2]
+    rows = [["DIGITS", "SEP", *["UNIT_LAKH"] * 4], ["DIGITS", "SEP", *["UNIT_CRORE"] * 4], ["DIGITS", "SEP", *["UNIT_LAKH"] * 3, "O\nO"], ["O\nDIGITS", "SEP", *["UNIT_LAKH"] * 4]]
+    rows = [rows[i % 4] for i in range(12)]
+    got = decode._decoded(pd.Series([text] * 12), pd.Series([np.array(bio)] * 12), pd.Series([np.array(r, dtype=object) for r in rows]))
+    for r, spans in zip(rows, got):
+        assert [(s["start"], s["end"], s["classes"]) for s in spans] == [(w[0][2], w[-1][3], [x[0] for x in w if x[0] != "SEP"]) for w, _ in decode.decode(text, bio, r)]
