@@ -41,11 +41,13 @@ PREFIXES = {
 CLASSES = (*"O SEP RANGE DIGITS DOT COMMA".split(), *PREFIXES, *(f"CARD_{n}" for n in range(1, 100)), *UNITS)
 RANGE_SIGNS = frozenset("-–—/")
 _DIGITS = {ord(c): str(i) for base in (0x0966, 0x0AE6) for i, c in enumerate(map(chr, range(base, base + 10)))}
+_NATIVE = re.compile("[०-९૦-૯]")
 
 
 def normalize(text: str) -> str:
     """NFC, native digits to ASCII, lower case."""
-    return unicodedata.normalize("NFC", text).translate(_DIGITS).lower()
+    text = unicodedata.normalize("NFC", text)
+    return (text.translate(_DIGITS) if _NATIVE.search(text) else text).lower()
 
 
 def key(surface: str) -> str:

@@ -83,3 +83,40 @@ def test_remembered_spans_are_the_same():
     got = decode._decoded(pd.Series([text] * 12), pd.Series([np.array(bio)] * 12), pd.Series([np.array(r, dtype=object) for r in rows]))
     for r, spans in zip(rows, got):
         assert [(s["start"], s["end"], s["classes"]) for s in spans] == [(w[0][2], w[-1][3], [x[0] for x in w if x[0] != "SEP"]) for w, _ in decode.decode(text, bio, r)]
+
+
+def _parts_by_runs(text):
+    """The rule read run by run."""
+    from amountlake.operators import tagger
+
+    out, before, left = [], [], 0
+    for run in tagger._RUN.finditer(text):
+        role = "" if run.group().isspace() else tagger._role(run.group())
+        if role == "number":
+            if not left:
+                start = before[-6] if len(before) >= 6 else 0
+                if out and start <= out[-1][1]:
+                    out[-1][1] = len(text)
+                else:
+                    out.append([start, len(text)])
+            left = 6
+        elif role == "word":
+            before.append(run.start())
+            left -= bool(left)
+            if out and out[-1][1] == len(text) and not left:
+                out[-1][1] = run.end()
+    out = [(text.rfind(" ", 0, a) + 1, b if text.find(" ", b) < 0 else text.find(" ", b)) for a, b in out]
+    return [p for i, p in enumerate(out) if not i or out[i - 1][1] < p[0]] if all(x[1] < y[0] for x, y in zip(out, out[1:])) else None
+
+
+def test_parts_of_a_text_by_distinct_words(monkeypatch):
+    """Words of a long text are told apart once each, and parts are where six words without a number cut them."""
+    from amountlake.operators import tagger
+
+    asked = []
+    kept = tagger._role
+    monkeypatch.setattr(tagger, "_role", lambda run: asked.append(run) or kept(run))
+    text = ("zqa zqb zqc zqd zqe zqf zqg 5 lakh — zqh zqi zqj zqx zqv zqm zqn " + "zqo, zqp " * 6 + "२ ² " + "zqr zqs. " * 4) * 500
+    parts = tagger._stretches(text)
+    assert len(asked) < 40 and parts == _parts_by_runs(text) and len(parts) > 500
+    assert tagger._stretches("nothing here — at all. " * 500) == []
