@@ -54,7 +54,7 @@ def test_stitched_is_stitch(spark, size, overlap):
     assert {r.k: r.text for r in cut.select("k", normalize.stitched(F.col("w")).alias("text")).collect()} == want == {r.k: r.text for r in rows.collect()}
 
 
-@pytest.mark.parametrize("name", ["q_decode_range", "q_decode_word"])
+@pytest.mark.parametrize("name", ["q_decode_range", "q_decode_word", "q_decode_cut"])
 def test_decode_queries_on_all_cores(spark, tmp_path, name):
     """A file of one row group is not one task's work."""
     _check(spark, name, tmp_path, "part", "SELECT i AS p_partkey FROM range(7199900, 7200900) r(i)")
